@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import frequent, groups, leak, mixture
+from strandloom.llm import frequent, groups, leak, mixture, near
+from strandloom.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near.near_pairs(table(spark, sf_dir, "uniq_reads"), "read_id", "read")
+    return pairs.select(F.col("a").alias("read_id_a"), F.col("b").alias("read_id_b"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each read with a near one: its group, and how many near reads it has."""
+    pairs = near.near_pairs(table(spark, sf_dir, "uniq_reads"), "read_id", "read").select("a", "b")
+    pairs = cut_lineage(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    return groups.link_groups(pairs).join(ends, "node").select(F.col("node").alias("read_id"), "group_id", "links")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent.frequent_items(table(spark, sf_dir, "uniq_reads"), "read", F.col("cnt"), 1 / 250).select("read")
 
@@ -65,8 +79,6 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the mixture as selected, by source: what the blocks chosen add up to."""
-    from strandloom.session import cut_lineage
-
     counted = cut_lineage(mixture.token_counts(table(spark, sf_dir, "documents"), keep=["doc_id", "source"]))
     plan = mixture.shares(counted.select("source", "tokens"), table(spark, sf_dir, "mix_targets"))
     chosen = mixture.select_blocks(counted, plan)
@@ -74,7 +86,7 @@ def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_sizes": p4_sizes,
+    "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_sizes": p4_sizes,
     "p6_found": p6_found, "p6_items": p6_items, "p6_clean": p6_clean, "p7_found": p7_found, "p7_shares": p7_shares, "p7_selection": p7_selection,
 }
 
