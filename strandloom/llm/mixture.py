@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import cut_lineage
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the vocabulary, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -70,8 +72,8 @@ def shares(counted: DataFrame, targets: DataFrame, blocks: int = 10_000) -> Data
 
     ``counted`` is (source, tokens). Only sums by source are gathered.
     """
-    held = counted.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
+    held = cut_lineage(counted.groupBy("source").agg(F.sum("tokens").alias("tokens")))  # read twice, tokens are counted once
+    total = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     goals = targets.where("source is not null").groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("g")).select("source", "g.*")
     size = F.greatest(F.ceil(F.col("total") / blocks), F.lit(1))
     claims = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import frequent, groups, leak, mixture, near
+from strandloom.llm import frequent, groups, leak, mixture, near, spans
 from strandloom.session import cut_lineage
 
 
@@ -66,7 +66,7 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = mixture.token_counts(table(spark, sf_dir, "documents"), keep=["source"])
-    return mixture.shares(counted.groupBy("source").agg(F.sum("tokens").alias("tokens")), table(spark, sf_dir, "mix_targets"))
+    return mixture.shares(counted, table(spark, sf_dir, "mix_targets"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +85,20 @@ def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.max("times").alias("most_times"), F.count("*").alias("documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.sharing_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each message stands elsewhere: number of stretches, characters they cover, the longest one."""
+    found = spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.groupBy("doc_id").agg(F.count("*").alias("stretches"), F.sum("length").alias("covered"), F.max("length").alias("longest"))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_sizes": p4_sizes,
     "p6_found": p6_found, "p6_items": p6_items, "p6_clean": p6_clean, "p7_found": p7_found, "p7_shares": p7_shares, "p7_selection": p7_selection,
+    "p8_found": p8_found, "p8_coverage": p8_coverage,
 }
 
 _TOTALS = "WITH t AS (SELECT read, sum(coalesce(cnt, 1)) AS total FROM uniq_reads GROUP BY read), n AS (SELECT sum(total) AS whole FROM t)"
