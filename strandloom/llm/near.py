@@ -25,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import partitions_for
+
 BINS_BITS = 18
 DRAWS = 2
 MIN_SPAN = 6
 SHORT = 64
 ENTRIES_PER_BUCKET = 250_000
 _MULTIPLIER = np.uint64(1099511628211)
-_SIGNATURE = "bucket int, sigs binary, ids binary, places binary"
+_SIGNATURE = "bucket int, sigs binary, ids binary"
+#: Bits of a packed signature that hold where it begins, in steps of two places, modulo 128.
+PLACE_BITS = 6
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -150,27 +154,29 @@ def _emit(texts: DataFrame, hot: np.ndarray, q: int, slack: int, buckets: int) -
                 continue
             bucket = (sigs % np.uint64(buckets)).astype(np.int32)
             by = np.lexsort((text, bucket))
-            bucket, own, code = bucket[by], ids[order][text[by]], (sigs[by] >> np.uint64(32)).astype(np.uint32)
-            places = np.minimum(first[by], 65535).astype(np.uint16)
+            place = ((first[by] >> 1) & ((1 << PLACE_BITS) - 1)).astype(np.uint64)
+            bucket, own, code = bucket[by], ids[order][text[by]], ((sigs[by] >> np.uint64(32 + PLACE_BITS) << np.uint64(PLACE_BITS)) | place).astype(np.uint32)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            rows = [(int(bucket[a]), _pack(code[a:b]), _pack(np.diff(own[a:b], prepend=0)), _pack(places[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "sigs", "ids", "places"])
+            rows = [(int(bucket[a]), _pack(code[a:b]), _pack(np.diff(own[a:b], prepend=0))) for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "sigs", "ids"])
 
     return texts.select("id", "text").mapInArrow(emit, _SIGNATURE)
 
 
-def bucket_pairs(sigs: np.ndarray, ids: np.ndarray, places: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_pairs(codes: np.ndarray, ids: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
     """The different pairs of ids that share a signature at about the same place, in one bucket."""
     known, own = np.unique(ids, return_inverse=True)
-    order = np.argsort(sigs, kind="stable")
-    sigs, own, places = sigs[order], own[order].astype(np.int64), places[order].astype(np.int32)
+    order = np.argsort(codes, kind="stable")
+    own, ring = own[order].astype(np.int64), 1 << PLACE_BITS
+    sigs, places = codes[order] >> np.uint32(PLACE_BITS), (codes[order] & np.uint32(ring - 1)).astype(np.int32)
     new = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]]) if len(sigs) else np.empty(0, np.int64)
     ahead = np.repeat(np.r_[new[1:], len(sigs)], np.diff(np.r_[new, len(sigs)])) - np.arange(len(sigs)) - 1
     keys, step = [], 1
     at = np.flatnonzero(ahead >= 1)
     while len(at):  # each entry with the one ``step`` after it in its group
         other = at + step
-        near = (np.abs(places[at] - places[other]) <= slack) | (places[at] == 65535) | (places[other] == 65535)
+        apart = (places[at] - places[other]) % ring
+        near = np.minimum(apart, ring - apart) <= slack // 2 + 1
         x, y = own[at[near]], own[other[near]]
         x, y = np.minimum(x, y), np.maximum(x, y)
         keys.append(((x << 32) | y)[x != y])
@@ -187,7 +193,7 @@ def candidate_pairs(texts: DataFrame, hot: np.ndarray, q: int, slack: int, bucke
 
     def meet(group: pa.Table) -> pa.Table:
         ids = [np.cumsum(d) for d in _unpack(group["ids"], np.int64)]
-        a, b = bucket_pairs(np.concatenate(_unpack(group["sigs"], np.uint32)), np.concatenate(ids), np.concatenate(_unpack(group["places"], np.uint16)), slack)
+        a, b = bucket_pairs(np.concatenate(_unpack(group["sigs"], np.uint32)), np.concatenate(ids), slack)
         return pa.table({"a": a, "b": b})
 
     return _emit(texts, hot, q, slack, buckets).groupBy("bucket").applyInArrow(meet, "a long, b long")
@@ -196,11 +202,13 @@ def candidate_pairs(texts: DataFrame, hot: np.ndarray, q: int, slack: int, bucke
 def near_pairs(df: DataFrame, id_col: str, text_col: str, edits: int = 8, q: int = 8, hot_share: float = 0.01, hot_least: int = 50) -> DataFrame:
     """(a, b, d) with a < b: classes of equal texts at an edit distance d of ``edits`` or less."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    texts = rows.groupBy("text").agg(F.min("id").alias("id")).persist()
+    parts = partitions_for(df.sparkSession)
+    # kept by id: both joins below find the texts where they need them
+    texts = rows.groupBy("text").agg(F.min("id").alias("id")).repartition(parts, "id").persist()
     known = texts.agg(F.count("*"), F.count_if(F.length("text") < SHORT), F.coalesce(F.avg(F.length("text")), F.lit(0.0))).first()
     hot = hot_bins(texts, q, max(hot_share * known[0], hot_least))
     buckets = max(32, int(known[0] * known[2] * 0.22 * DRAWS / ENTRIES_PER_BUCKET))
-    pairs = candidate_pairs(texts, hot, q, edits, buckets).distinct()
+    pairs = candidate_pairs(texts, hot, q, edits, buckets).repartition(parts, "a").dropDuplicates(["a", "b"])
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     distance = F.levenshtein("x", "y", edits)
     found = pairs.join(left, "a").join(right, "b").select("a", "b", distance.alias("d")).where("d >= 0")
