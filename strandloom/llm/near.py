@@ -29,9 +29,9 @@ from strandloom.session import partitions_for
 
 BINS_BITS = 18
 DRAWS = 2
-MIN_SPAN = 6
+MIN_SPAN = 8
 SHORT = 64
-ENTRIES_PER_BUCKET = 250_000
+ENTRIES_PER_BUCKET = 2_000_000
 _MULTIPLIER = np.uint64(1099511628211)
 _SIGNATURE = "bucket int, sigs binary, ids binary"
 #: Bits of a packed signature that hold where it begins, in steps of two places, modulo 128.
@@ -176,7 +176,7 @@ def bucket_pairs(codes: np.ndarray, ids: np.ndarray, slack: int) -> tuple[np.nda
     while len(at):  # each entry with the one ``step`` after it in its group
         other = at + step
         apart = (places[at] - places[other]) % ring
-        near = np.minimum(apart, ring - apart) <= slack // 2 + 1
+        near = np.minimum(apart, ring - apart) <= (slack + 1) // 2
         x, y = own[at[near]], own[other[near]]
         x, y = np.minimum(x, y), np.maximum(x, y)
         keys.append(((x << 32) | y)[x != y])
@@ -207,7 +207,7 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, edits: int = 8, q: int
     texts = rows.groupBy("text").agg(F.min("id").alias("id")).repartition(parts, "id").persist()
     known = texts.agg(F.count("*"), F.count_if(F.length("text") < SHORT), F.coalesce(F.avg(F.length("text")), F.lit(0.0))).first()
     hot = hot_bins(texts, q, max(hot_share * known[0], hot_least))
-    buckets = max(32, int(known[0] * known[2] * 0.22 * DRAWS / ENTRIES_PER_BUCKET))
+    buckets = max(parts, int(known[0] * known[2] * 0.22 * DRAWS / ENTRIES_PER_BUCKET))
     pairs = candidate_pairs(texts, hot, q, edits, buckets).repartition(parts, "a").dropDuplicates(["a", "b"])
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     distance = F.levenshtein("x", "y", edits)
