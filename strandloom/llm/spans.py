@@ -2,9 +2,9 @@
 
 Chunks are defined by content: a gear hash rolls over the text, and a cut falls wherever the hash is the least of some
 window of ``WINDOW`` places. Equal stretches are therefore cut alike wherever they stand, after insertions too, and no gap
-between cuts exceeds the window. Digests of the chunks between cuts find chunks that stand in several texts. Any shared span
-of ``min_chars`` holds at least two cuts that depend on nothing outside it, so it lies within ``reach`` of a run of shared
-chunks; inside those stretches, and only there, the digest of every span of exactly ``min_chars`` is compared, which settles
+between cuts exceeds the window. Each chunk is digested with the next ones, as many as any span of ``min_chars`` must hold,
+which finds the chunks that stand in several texts. The cuts a shared span is sure to hold depend on nothing outside it, so
+it lies close around a run of shared chunks; inside those stretches, and only there, the digest of every span of exactly ``min_chars`` is compared, which settles
 to the letter where shared spans begin and end.
 
 Both comparisons send packed digests to buckets. A digest that several texts of one batch hold goes there once, so a
@@ -89,6 +89,13 @@ def window_for(min_chars: int) -> int:
     return max(1, min(WINDOW, (min_chars - GEAR) // 2))
 
 
+def chunks_for(min_chars: int) -> int:
+    """How many chunks in a row any span of ``min_chars`` is sure to hold, three at most: each cut is the least of at most
+    ``window`` of the windows that lie inside the span."""
+    window = window_for(min_chars)
+    return max(1, min(3, -(-(min_chars - GEAR - window + 2) // window) - 1))
+
+
 def _pack(values: np.ndarray, planes: int) -> bytes:
     return np.ascontiguousarray(values.astype(np.int64, copy=False).view(np.uint8).reshape(len(values), 8)[:, :planes].T).tobytes()
 
@@ -161,16 +168,16 @@ def _joined(parts: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.Re
 
 
 def shared_chunks(texts: DataFrame, min_chars: int, buckets: int) -> DataFrame:
-    """(doc, start, size): chunks that stand in more than one text; ``texts`` is (doc, text)."""
-    window = window_for(min_chars)
+    """(doc, start, size): chunks in a row that stand in more than one text; ``texts`` is (doc, text)."""
+    window, row = window_for(min_chars), chunks_for(min_chars)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for docs, piece in _slices(batch.column(0).to_numpy(), batch.column(1).to_pylist(), min_chars):
                 text, cut = piece.cuts(window)
-                same = text[1:] == text[:-1]
-                begin, end, own = cut[:-1][same], cut[1:][same], text[:-1][same]
+                same = text[row:] == text[:-row]
+                begin, end, own = cut[:-row][same], cut[row:][same], text[:-row][same]
                 parts.append((piece.digests(begin, end), docs[own], begin - piece.starts[own], end - begin))
             yield from _joined(parts, buckets)
 
