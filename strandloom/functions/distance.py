@@ -31,44 +31,66 @@ def pigeonhole_pass(a: str, b: str, tau: int) -> Column:
     return F.expr(f"length({a}) < {pieces} OR {hits}")
 
 
-def distances(pairs: list[tuple[str, str]], out: np.ndarray) -> None:
-    """Exact distances by bit-parallel columns, all pairs of a batch side by side in 64-bit lanes."""
-    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]))
-    for start in range(0, len(order), 4096):
-        index = order[start : start + 4096]
-        out[index] = _lanes([pairs[i][0] for i in index], [pairs[i][1] for i in index])
-
-
-def _codes(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    grid = np.full((len(texts), max(1, int(lengths.max(initial=0)))), fill, np.int64)
-    grid[np.arange(grid.shape[1]) < lengths[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    return grid, lengths
-
-
-def _lanes(patterns: list[str], texts: list[str]) -> np.ndarray:
-    a, m = _codes(patterns, -1)
-    b, n = _codes(texts, -2)
-    words, count = -(-a.shape[1] // 64), len(patterns)
-    symbols, inverse = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_inverse=True)
-    a, b = inverse[: a.size].reshape(a.shape), inverse[a.size :].reshape(b.shape)
-    masks = np.zeros((len(symbols), words, count), np.uint64)
-    for i in range(a.shape[1]):  # each lane sets its own bit
-        masks[a[:, i], i // 64, np.arange(count)] |= np.uint64(1) << np.uint64(i % 64)
+#: Pairs put side by side; the arrays of one step stay in the processor's cache.
+LANES = 8192
+GRAM, GRAM_BINS = 5, 1024
+
+
+class Texts:
+    """Strings as a grid of small symbol numbers."""
+
+    def __init__(self, texts: list[str], alphabet: np.ndarray):
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.grid = np.zeros((len(texts), max(1, int(self.lengths.max(initial=0)))), np.int64)
+        self.inside = np.arange(self.grid.shape[1]) < self.lengths[:, None]
+        self.grid[self.inside] = np.searchsorted(alphabet, _codes(texts)) + 1  # 0 pads
+
+    def grams(self) -> np.ndarray:
+        """Which hashed grams each string holds."""
+        held = np.zeros((len(self.lengths), GRAM_BINS), np.float32)
+        width = self.grid.shape[1] - GRAM + 1
+        if width > 0:
+            code = np.zeros((len(self.lengths), width), np.int64)
+            for k in range(GRAM):
+                code = code * 4 + self.grid[:, k : k + width] - 1
+            row, at = np.nonzero(self.inside[:, GRAM - 1 :])
+            held[row, code[row, at] % GRAM_BINS] = 1
+        return held
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _alphabet(*sides: list[str]) -> np.ndarray:
+    counts = [np.flatnonzero(np.bincount(c)) if len(c := _codes(side)) and c.max() < 65536 else np.unique(c) for side in sides]
+    return np.unique(np.concatenate(counts))
+
+
+def _lanes(a: Texts, i: np.ndarray, b: Texts, j: np.ndarray, symbols: int) -> np.ndarray:
+    """Distances of the pairs (a[i], b[j]) by bit-parallel columns, each pair in a 64-bit lane of its own."""
+    m, n, count = a.lengths[i], b.lengths[j], len(i)
+    words, pattern, text = -(-a.grid.shape[1] // 64), a.grid[i], b.grid[j].T.copy()
+    masks = np.zeros((symbols + 1, words, count), np.uint64)
+    lane = np.arange(count)
+    for k in range(a.grid.shape[1]):  # each lane sets its own bit
+        masks[pattern[:, k], k // 64, lane] |= np.uint64(1) << np.uint64(k % 64)
+    masks[0] = 0
     one, top = np.uint64(1), np.uint64(63)
     vp, vn = np.full((words, count), ~np.uint64(0)), np.zeros((words, count), np.uint64)
-    score, lane = m.copy(), np.arange(count)
+    score = m.copy()
     last_word, last_bit = np.maximum(m - 1, 0) // 64, (np.maximum(m - 1, 0) % 64).astype(np.uint64)
-    for j in range(b.shape[1]):
-        live = j < n
+    at = [last_word == w for w in range(words)]
+    for k in range(int(n.max(initial=0))):
+        live = k < n
         hp_in, hn_in = np.full(count, one), np.zeros(count, np.uint64)
         for w in range(words):
-            eq = masks[b[:, j], w, lane]
+            eq = masks[text[k], w, lane]
             x = eq | hn_in
             d0 = (((x & vp[w]) + vp[w]) ^ vp[w]) | x | vn[w]
             hp, hn = vn[w] | ~(d0 | vp[w]), d0 & vp[w]
-            at = live & (last_word == w)
-            score += np.where(at, ((hp >> last_bit) & one).astype(np.int64) - ((hn >> last_bit) & one).astype(np.int64), 0)
+            if at[w].any():
+                score += (((hp >> last_bit) & one).astype(np.int64) - ((hn >> last_bit) & one).astype(np.int64)) * (at[w] & live)
             hp_out, hn_out = hp >> top, hn >> top
             hp, hn = (hp << one) | hp_in, (hn << one) | hn_in
             vp[w], vn[w] = hn | ~(d0 | hp), d0 & hp
@@ -76,46 +98,120 @@ def _lanes(patterns: list[str], texts: list[str]) -> np.ndarray:
     return np.where(m == 0, n, score)
 
 
+def block_distances(left: list[str], right: list[str], limit: int, inner: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d) of all pairs within ``limit`` edits; ``inner`` takes i < j of one block with itself.
+
+    An edit touches ``GRAM`` grams at most, so where a string lacks more than limit x GRAM of the other's, no distance is
+    needed.
+    """
+    none = np.empty(0, np.int64)
+    if not left or not right:
+        return none, none, none
+    alphabet = _alphabet(left, right)
+    a, b = Texts(left, alphabet), Texts(right, alphabet)
+    near = np.abs(a.lengths[:, None] - b.lengths[None, :]) <= limit
+    held, other = a.grams(), b.grams()
+    common = held @ other.T
+    near &= (held.sum(1)[:, None] - common <= limit * GRAM) & (other.sum(1)[None, :] - common <= limit * GRAM)
+    if inner:
+        near = np.triu(near, 1)
+    i, j = np.nonzero(near)
+    d = np.concatenate([none, *(_lanes(a, i[at : at + LANES], b, j[at : at + LANES], len(alphabet)) for at in range(0, len(i), LANES))])
+    close = d <= limit
+    return i[close], j[close], d[close]
+
+
+def distances(left: list[str], right: list[str]) -> np.ndarray:
+    """The exact distance of each pair; pairs of like length share lanes, so long ones cost no others."""
+    out = np.zeros(len(left), np.int64)
+    order = np.array(sorted(range(len(left)), key=lambda k: max(len(left[k]), len(right[k]))), np.int64)
+    at = 0
+    while at < len(order):
+        width = max(len(left[order[at]]), len(right[order[at]]), 64)
+        some = order[at : at + LANES]
+        some = some[: max(1, sum(max(len(left[k]), len(right[k])) <= 2 * width for k in some))]
+        x, y = [left[k] for k in some], [right[k] for k in some]
+        alphabet = _alphabet(x, y)
+        a, b = Texts(x, alphabet), Texts(y, alphabet)
+        lanes = np.arange(len(some))
+        step = max(1, min(LANES, 2**26 // (a.grid.shape[1] * (len(alphabet) + 1))))
+        out[some] = np.concatenate([_lanes(a, lanes[s : s + step], b, lanes[s : s + step], len(alphabet)) for s in range(0, len(some), step)])
+        at += len(some)
+    return out
+
+
 @pandas_udf(T.IntegerType())
 def exact_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance without a cutoff, a batch of pairs at a time; null where a side is null."""
     known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
-    out = np.zeros(len(known), np.int64)
     left, right = a.to_numpy(), b.to_numpy()
-    distances([(left[i], right[i]) for i in known], out)
+    out = distances([left[i] for i in known], [right[i] for i in known])
     return pd.Series(out, index=a.index[known], dtype="Int32").reindex(a.index)
 
 
-def align(anchor: str, other: str) -> list[tuple[str, int, str | None]]:
-    """Operations that turn ``anchor`` into ``other``: EQ, SUB, DEL at the anchor's place, INS before it.
+EQ, SUB, DEL, INS = range(4)
+TAGS = ("EQ", "SUB", "DEL", "INS")
 
-    Among equally cheap scripts the walk back from the end takes a deletion first, then the diagonal, then an insertion.
+
+def align_many(anchors: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, tag, pos, code point) of the operations that turn each anchor into its other string, in order.
+
+    EQ, SUB and DEL stand at the anchor's place, INS before it. Among equally cheap scripts the walk back from the end takes
+    a deletion first, then the diagonal, then an insertion. All pairs of a piece walk side by side.
     """
-    a, b = np.array(list(anchor), object), np.array(list(other), object)
-    la, lb = len(a), len(b)
-    table = np.empty((la + 1, lb + 1), np.int32)
-    table[0] = across = np.arange(lb + 1)
-    for i in range(1, la + 1):
-        best = np.empty(lb + 1, np.int32)
-        best[0] = i
-        np.minimum(table[i - 1, :-1] + (b != a[i - 1]), table[i - 1, 1:] + 1, out=best[1:])
-        table[i] = np.minimum.accumulate(best - across) + across
-    ops, i, j = [], la, lb
-    while i or j:
-        here = table[i, j]
-        if i and here == table[i - 1, j] + 1:
-            ops.append(("DEL", i - 1, None))
-            i -= 1
-        elif i and j and here == table[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            ops.append(("EQ" if a[i - 1] == b[j - 1] else "SUB", i - 1, b[j - 1]))
-            i, j = i - 1, j - 1
-        else:
-            ops.append(("INS", i, b[j - 1]))
-            j -= 1
-    return ops[::-1]
+    parts = []
+    size = max(1, 2**24 // ((max(map(len, anchors), default=0) + 1) * (max(map(len, others), default=0) + 1)))
+    for start in range(0, len(anchors), size):
+        pair, tag, pos, ch = _align_piece(anchors[start : start + size], others[start : start + size])
+        parts.append((pair + start, tag, pos, ch))
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.empty(0, np.int64),) * 4
+
+
+def _align_piece(anchors: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    alphabet = _alphabet(anchors, others)
+    x, y = Texts(anchors, alphabet), Texts(others, alphabet)
+    la, lb, a, b = x.lengths, y.lengths, x.grid, np.where(y.inside, y.grid, -1)
+    across = np.arange(b.shape[1] + 1, dtype=np.int32)
+    table = np.empty((a.shape[1] + 1, len(la), b.shape[1] + 1), np.int32)
+    table[0] = across
+    for i in range(1, a.shape[1] + 1):
+        table[i, :, 0] = i
+        np.minimum(table[i - 1, :, :-1] + (b != a[:, i - 1 : i]), table[i - 1, :, 1:] + 1, out=table[i, :, 1:])
+        table[i] = np.minimum.accumulate(table[i] - across, axis=1) + across
+    i, j, live, steps = la.copy(), lb.copy(), np.flatnonzero((la > 0) | (lb > 0)), []
+    while len(live):
+        p, q = i[live], j[live]
+        here = table[p, live, q]
+        up, back = np.maximum(p - 1, 0), np.maximum(q - 1, 0)
+        one, two = a[live, up], b[live, back]
+        gone = (p > 0) & (here == table[up, live, q] + 1)
+        level = ~gone & (p > 0) & (q > 0) & (here == table[up, live, back] + (one != two))
+        tag = np.where(gone, DEL, np.where(level, np.where(one == two, EQ, SUB), INS))
+        steps.append((live, tag, np.where(tag == INS, p, p - 1), np.where(gone, 0, two)))
+        i[live] -= gone | level
+        j[live] -= ~gone
+        live = live[(i[live] > 0) | (j[live] > 0)]
+    if not steps:
+        return (np.empty(0, np.int64),) * 4
+    pair, tag, pos, ch = (np.concatenate(c[::-1]) for c in zip(*steps))
+    order = np.argsort(pair, kind="stable")
+    return pair[order], tag[order], pos[order], np.concatenate([[0], alphabet]).astype(np.int64)[ch[order]]
+
+
+def align(anchor: str, other: str) -> list[tuple[str, int, str | None]]:
+    """The script of one pair."""
+    _, tag, pos, ch = align_many([anchor], [other])
+    return [(TAGS[t], int(p), None if t == DEL else chr(c)) for t, p, c in zip(tag, pos, ch)]
 
 
 @pandas_udf(OPS)
 def alignment_ops(anchor: pd.Series, other: pd.Series) -> pd.Series:
     """The script of each pair; null where a side is null."""
-    return pd.Series([None if a is None or b is None else [{"tag": t, "pos": p, "ch": c} for t, p, c in align(a, b)] for a, b in zip(anchor, other)])
+    known = np.flatnonzero((anchor.notna() & other.notna()).to_numpy())
+    pair, tag, pos, ch = align_many(anchor.iloc[known].tolist(), other.iloc[known].tolist())
+    rows: list[list[dict] | None] = [None] * len(anchor)
+    for k in known:
+        rows[k] = []
+    for k, t, p, c in zip(known[pair].tolist(), tag.tolist(), pos.tolist(), ch.tolist()):
+        rows[k].append({"tag": TAGS[t], "pos": p, "ch": None if t == DEL else chr(c)})
+    return pd.Series(rows, index=anchor.index)

@@ -20,8 +20,8 @@ PAST_END = 4
 
 
 def base_code(symbol: Column) -> Column:
-    """0 to 3, or -1."""
-    return F.when(symbol == "A", 0).when(symbol == "C", 1).when(symbol == "G", 2).when(symbol == "T", 3).otherwise(-1)
+    """0 to 3, or -1; for one symbol."""
+    return F.position(symbol, F.lit("ACGT")) - 1
 
 
 def base_rows(reads: DataFrame) -> DataFrame:

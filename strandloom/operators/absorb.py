@@ -6,11 +6,12 @@ the filtered search takes the smallest of equally near strings instead; empty si
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.encode import anchor_keys
-from strandloom.operators.candidates import MERGE_ROUNDS, THETA_MERGE, filtered, sided_pairs
+from strandloom.functions.distance import block_distances
+from strandloom.operators.candidates import MERGE_ROUNDS, THETA_MERGE, sided_pairs, signed_keys, verified
 from strandloom.operators.calibrate import BLOCK
 from strandloom.operators.components import labels
 
@@ -31,20 +32,26 @@ def closest_apart(merged: DataFrame, edges: DataFrame, keep: int) -> DataFrame:
 def near_strings(rest: DataFrame, strings: DataFrame, tau: int) -> DataFrame:
     """(a, b, d): every string b within ``tau`` edits of a left-over read a, exactly.
 
-    The strings are a stated set bounded by ``exact_max``; they are taken in blocks, by the lengths they can match.
+    The strings are a stated set bounded by ``exact_max`` and taken in blocks. The left-over reads are cut into as many
+    blocks as they need; two blocks meet in one group of bounded size, where grams they cannot lack within ``tau`` edits
+    spare most distances.
     """
-    blocks = max(1, -(-strings.count() // BLOCK))
-    right = strings.select(F.col("idx").alias("b"), F.col("read").alias("y"), F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("blk"), F.floor(F.length("read") / (tau + 1)).alias("slot"))
-    left = rest.select(F.col("idx").alias("a"), F.col("read").alias("x"), F.floor(F.length("read") / (tau + 1)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
-    left = left.select("a", "x", "blk", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)).alias("slot"))
-    met = left.join(right, ["blk", "slot"]).where(F.abs(F.length("x") - F.length("y")) <= tau)
-    return met.select("a", "b", F.levenshtein("x", "y", tau).alias("d")).where("d >= 0")
+    across, down = max(1, -(-strings.count() // BLOCK)), max(1, -(-rest.count() // (4 * BLOCK)))
+    right = strings.select("idx", "read", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("p"), F.pmod(F.xxhash64("idx"), F.lit(across)).cast("int").alias("q"))
+    left = rest.select("idx", "read", F.lit(0).alias("side"), F.pmod(F.xxhash64("idx"), F.lit(down)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("q"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        i, j, d = block_distances(x["read"].tolist(), y["read"].tolist(), tau, False)
+        return pd.DataFrame({"a": x["idx"].to_numpy()[i], "b": y["idx"].to_numpy()[j], "d": d})
+
+    return left.unionByName(right).groupBy("p", "q").applyInPandas(meet, "a long, b long, d int")
 
 
 def absorb_filtered(rest: DataFrame, strings: DataFrame, tau: int, theta: int = THETA_MERGE, occurrences: int = 4) -> DataFrame:
     """(idx, core, d): the nearest string that the keys and signatures propose, the smallest of equally near ones."""
-    pairs = sided_pairs(anchor_keys(rest, MERGE_ROUNDS, occurrences), anchor_keys(strings, MERGE_ROUNDS, occurrences))
-    near = filtered(pairs, rest, strings, theta, tau)
+    pairs = sided_pairs(signed_keys(rest, MERGE_ROUNDS, occurrences), signed_keys(strings, MERGE_ROUNDS, occurrences), theta=theta)
+    near = verified(pairs, rest, strings, tau)
     return near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.col("a").alias("idx"), F.col("m.b").alias("core"), F.col("m.d").alias("d"))
 
 

@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.distance import exact_distance
-from strandloom.functions.encode import anchor_keys
-from strandloom.operators.candidates import MERGE_ROUNDS, THETA_MERGE, bucket_pairs, filtered
+from strandloom.functions.distance import block_distances
+from strandloom.operators.candidates import MERGE_ROUNDS, THETA_MERGE, bucket_pairs, signed_keys, verified
 
 MIN_GAP = 2
 #: Strings that one block of the exact pair search holds.
-BLOCK = 512
+BLOCK = 1024
 
 
 @dataclass
@@ -37,29 +38,42 @@ def distance_limit(strings: DataFrame, fraction: float = 0.5) -> int:
     return max(4, int(fraction * (middle or 0)))
 
 
-def all_pairs(strings: DataFrame, limit: int) -> DataFrame:
-    """(a, b, d): every pair within ``limit`` edits, exactly.
+def all_pairs(strings: DataFrame, limit: int, keep: int | None = None) -> DataFrame:
+    """(a, b, d, n): every pair within ``keep`` edits, and beyond it up to ``limit`` only how many there are (a, b null).
 
-    The number of strings is bounded by the caller (``exact_max``). They are put into blocks and every two blocks meet in
-    an equi-join, so the pairs spread evenly over tasks and no side is broadcast.
+    The number of strings is bounded by the caller (``exact_max``). They are put into blocks, and every two blocks meet in
+    one group of bounded size, so the pairs spread evenly over tasks and no side is broadcast.
     """
-    count = strings.count()
-    blocks = max(1, -(-count // BLOCK))
+    keep = limit if keep is None else keep
+    blocks = max(1, -(-strings.count() // BLOCK))
     placed = strings.select("idx", "read", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("blk"))
-    left = placed.select(F.col("idx").alias("i"), F.col("read").alias("x"), F.col("blk").alias("p"), F.explode(F.sequence(F.col("blk"), F.lit(blocks - 1))).alias("q"))
-    right = placed.select(F.col("idx").alias("j"), F.col("read").alias("y"), F.col("blk").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("p"))
-    met = left.join(right, ["p", "q"]).where("i < j OR (p < q AND i > j)").where(F.abs(F.length("x") - F.length("y")) <= limit)
-    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), exact_distance("x", "y").alias("d")).where(F.col("d") <= limit)
+    left = placed.select("idx", "read", F.lit(0).alias("side"), F.col("blk").alias("p"), F.explode(F.sequence(F.col("blk"), F.lit(blocks - 1))).alias("q"))
+    right = placed.where("blk > 0").select("idx", "read", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("p"), F.col("blk").alias("q"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        inner = rows["p"].iloc[0] == rows["q"].iloc[0]
+        found = block_distances(x["read"].tolist(), (x if inner else y)["read"].tolist(), limit, inner)
+        i, j, d = found
+        one, two = x["idx"].to_numpy()[i], (x if inner else y)["idx"].to_numpy()[j]
+        near = d <= keep
+        far = np.bincount(d[~near])
+        beyond = np.flatnonzero(far)
+        kept = pd.DataFrame({"a": np.minimum(one, two)[near], "b": np.maximum(one, two)[near], "d": d[near], "n": 1}).astype({"a": "Int64", "b": "Int64"})
+        return pd.concat([kept, pd.DataFrame({"a": pd.array([None] * len(beyond), "Int64"), "b": pd.array([None] * len(beyond), "Int64"), "d": beyond, "n": far[beyond]})])
+
+    return left.unionByName(right).groupBy("p", "q").applyInPandas(meet, "a long, b long, d int, n long")
 
 
 def filtered_pairs(strings: DataFrame, limit: int, theta: int = THETA_MERGE) -> DataFrame:
     """(a, b, d): the pairs within ``limit`` edits that the anchor keys and signatures propose."""
-    return filtered(bucket_pairs(anchor_keys(strings, MERGE_ROUNDS, 1)), strings, strings, theta, limit)
+    return verified(bucket_pairs(signed_keys(strings, MERGE_ROUNDS, 1), theta=theta), strings, strings, limit)
 
 
 def histogram(pairs: DataFrame, limit: int) -> DataFrame:
-    """(d, pairs) for d = 0..limit."""
-    counts = pairs.where(F.col("d") <= limit).groupBy("d").agg(F.count("*").alias("pairs"))
+    """(d, pairs) for d = 0..limit; ``pairs`` may carry how many pairs a row stands for as n."""
+    size = F.sum("n") if "n" in pairs.columns else F.count("*")
+    counts = pairs.where(F.col("d") <= limit).groupBy("d").agg(size.alias("pairs"))
     every = pairs.sparkSession.range(limit + 1).select(F.col("id").cast("int").alias("d"))
     return every.join(counts, "d", "left").select("d", F.coalesce("pairs", F.lit(0)).alias("pairs"))
 

@@ -24,38 +24,49 @@ def capped(keys: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
     return keys.join(sizes, ["it", "key"])
 
 
-def bucket_pairs(keys: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
-    """(a, b) of every two keys in a bucket, of different owners; a pair may come several times."""
-    kept = capped(keys, cap).select("it", "key", "idx")
-    left, right = kept.withColumnRenamed("idx", "a"), kept.withColumnRenamed("idx", "b")
-    return left.join(right, ["it", "key"]).where("a < b").select("a", "b")
+def _side(kept: DataFrame, idx: str, prefix: str) -> DataFrame:
+    words = [F.col(f"s{b}").alias(f"{prefix}{b}") for b in range(SIG_WORDS) if f"s{b}" in kept.columns]
+    return kept.select("it", "key", F.col("idx").alias(idx), *words)
 
 
-def sided_pairs(left: DataFrame, right: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
-    """(a, b) with a from ``left`` and b from ``right``; a bucket's size counts the keys of both sides."""
-    keys = left.select("it", "key", "idx", F.lit(0).alias("side")).unionByName(right.select("it", "key", "idx", F.lit(1).alias("side")))
+def bucket_pairs(keys: DataFrame, cap: int = BUCKET_CAP, theta: int | None = None) -> DataFrame:
+    """(a, b) of every two keys in a bucket, of different owners; a pair may come several times.
+
+    With ``theta`` the keys carry their owner's signature, and pairs that differ in more bits end inside the join.
+    """
     kept = capped(keys, cap)
-    a = kept.where("side = 0").select("it", "key", F.col("idx").alias("a"))
-    b = kept.where("side = 1").select("it", "key", F.col("idx").alias("b"))
-    return a.join(b, ["it", "key"]).select("a", "b")
+    met = _side(kept, "a", "x").join(_side(kept, "b", "y"), ["it", "key"]).where("a < b")
+    return (met if theta is None else met.where(hamming() <= theta)).select("a", "b")
+
+
+def sided_pairs(left: DataFrame, right: DataFrame, cap: int = BUCKET_CAP, theta: int | None = None) -> DataFrame:
+    """(a, b) with a from ``left`` and b from ``right``; a bucket's size counts the keys of both sides."""
+    kept = capped(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))), cap)
+    met = _side(kept.where("side = 0"), "a", "x").join(_side(kept.where("side = 1"), "b", "y"), ["it", "key"])
+    return (met if theta is None else met.where(hamming() <= theta)).select("a", "b")
+
+
+def signed_keys(reads: DataFrame, rounds: int, occurrences: int) -> DataFrame:
+    """(idx, it, key, s0..s5); both parts are kept by idx, so the join shuffles nothing more."""
+    return anchor_keys(reads, rounds, occurrences).select("idx", "it", "key").join(signatures(reads), "idx", "left")
 
 
 def signed(reads: DataFrame, prefix: str, idx: str) -> DataFrame:
     """Reads with their signature, columns renamed for one side of a pair."""
-    sigs = signatures(reads)
-    joined = reads.select("idx", "read").join(sigs, "idx", "left")
+    joined = reads.select("idx", "read").join(signatures(reads), "idx", "left")
     return joined.select(F.col("idx").alias(idx), F.col("read").alias(f"{prefix}_read"), *[F.col(f"s{b}").alias(f"{prefix}{b}") for b in range(SIG_WORDS)])
 
 
-def filtered(pairs: DataFrame, left: DataFrame, right: DataFrame, theta: int, tau: int) -> DataFrame:
-    """(a, b, d): different pairs within ``theta`` bits and ``tau`` edits; the cheap filter runs first."""
-    near = pairs.distinct().join(signed(left, "x", "a"), "a").join(signed(right, "y", "b"), "b").where(hamming() <= theta)
-    return near.where(F.abs(F.length("x_read") - F.length("y_read")) <= tau).select("a", "b", F.levenshtein("x_read", "y_read", tau).alias("d")).where("d >= 0")
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, tau: int) -> DataFrame:
+    """(a, b, d): different pairs within ``tau`` edits."""
+    x, y = left.select(F.col("idx").alias("a"), F.col("read").alias("x")), right.select(F.col("idx").alias("b"), F.col("read").alias("y"))
+    near = pairs.distinct().join(x, "a").join(y, "b").where(F.abs(F.length("x") - F.length("y")) <= tau)
+    return near.select("a", "b", F.levenshtein("x", "y", tau).alias("d")).where("d >= 0")
 
 
 def core_edges(reads: DataFrame, tau: int = 8, rounds: int = CORE_ROUNDS, theta: int = THETA_CORE, occurrences: int = 4) -> DataFrame:
     """(a, b, d): pairs of reads that share an anchor key, pass the signature and lie within ``tau`` edits."""
-    return filtered(bucket_pairs(anchor_keys(reads, rounds, occurrences)), reads, reads, theta, tau)
+    return verified(bucket_pairs(signed_keys(reads, rounds, occurrences), theta=theta), reads, reads, tau)
 
 
 def work_counters(reads: DataFrame, tau: int = 8, rounds: int = CORE_ROUNDS, theta: int = THETA_CORE, occurrences: int = 4) -> DataFrame:

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.distance import align, exact_distance
+from strandloom.functions.distance import DEL, INS, SUB, align_many, exact_distance
 
 SAMPLE = 64
+BASES = [ord(b) for b in "ACGT"]
 
 
 def medoid_sample(cores: DataFrame, reads: DataFrame) -> DataFrame:
@@ -45,25 +47,17 @@ def votes(cores: DataFrame, reads: DataFrame, centres: DataFrame) -> DataFrame:
 
     def cast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple[int, int, str, str]] = []
-            for core, medoid, read in zip(batch["core"], batch["medoid"], batch["read"]):
-                run: list[str] = []
-                for tag, pos, ch in align(medoid, read):
-                    if tag == "INS":
-                        run.append(ch)
-                        at = pos
-                        continue
-                    if run:
-                        rows.append((core, at, "I", "".join(run)))
-                        run = []
-                    if tag == "DEL":
-                        rows.append((core, pos, "D", ""))
-                    elif ch in "ACGT":
-                        rows.append((core, pos, "B", ch))
-                if run:
-                    rows.append((core, at, "I", "".join(run)))
-            if rows:
-                yield pd.DataFrame(rows, columns=["core", "pos", "kind", "ch"]).groupby(["core", "pos", "kind", "ch"], as_index=False).size().rename(columns={"size": "n"})
+            pair, tag, pos, ch = align_many(batch["medoid"].tolist(), batch["read"].tolist())
+            core = batch["core"].to_numpy()[pair]
+            base = (tag <= SUB) & np.isin(ch, BASES)
+            plain = pd.DataFrame({"core": core, "pos": pos, "kind": np.where(tag == DEL, "D", "B"), "ch": ch})[base | (tag == DEL)]
+            plain = plain.groupby(["core", "pos", "kind", "ch"], as_index=False).size()
+            plain["ch"] = [chr(c) if c else "" for c in plain["ch"]]
+            texts: dict[tuple[int, int], list[str]] = {}
+            for k in np.flatnonzero(tag == INS).tolist():  # what one pair inserts before one place is one text
+                texts.setdefault((int(pair[k]), int(pos[k])), []).append(chr(ch[k]))
+            inserted = pd.DataFrame([(batch["core"].iloc[k], p, "I", "".join(t)) for (k, p), t in texts.items()], columns=["core", "pos", "kind", "ch"])
+            yield pd.concat([plain, inserted.groupby(["core", "pos", "kind", "ch"], as_index=False).size()]).rename(columns={"size": "n"})
 
     return members.mapInPandas(cast, "core long, pos int, kind string, ch string, n long").groupBy("core", "pos", "kind", "ch").agg(F.sum("n").alias("n"))
 

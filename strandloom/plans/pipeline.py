@@ -80,7 +80,8 @@ def cluster(unique: DataFrame, options: Options | None = None) -> Clustering:
     tau_abs, tau_cons = options.tau_abs, options.tau_cons
     if not options.approx and 2 <= count <= options.exact_max:
         limit = calibrate.distance_limit(strings)
-        pairs = cut_lineage(calibrate.all_pairs(strings, limit))
+        # all that any threshold can need; beyond it only the histogram counts
+        pairs = cut_lineage(calibrate.all_pairs(strings, limit, limit if options.auto_tau else min(2 * max(tau_abs, tau_cons) + 1, limit)))
         result.histogram = calibrate.histogram(pairs, limit)
         found = calibrate.ceiling_below_peak(calibrate.counts_of(result.histogram))
         ceiling = found.ceiling if found.kind else limit + 1
@@ -90,7 +91,7 @@ def cluster(unique: DataFrame, options: Options | None = None) -> Clustering:
             tau_abs = tau_cons = tau_safe
             keep = min(2 * tau_safe + 1, limit)
         tau_cons, tau_abs = (tau_safe if t >= ceiling else t for t in (tau_cons, tau_abs))
-        merged = cut_lineage(absorb.merge_components(strings, pairs.where(F.col("d") <= keep), tau_cons))
+        merged = cut_lineage(absorb.merge_components(strings, pairs.where("a is not null").where(F.col("d") <= keep), tau_cons))
         taken = absorb.absorb_exact(absorb.near_strings(rest, strings, tau_abs), merged)
         result.metrics |= {"mode": "exact", "limit": limit, "ceiling": ceiling, "kind": found.kind, "keep": keep}
     else:

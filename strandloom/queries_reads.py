@@ -191,7 +191,7 @@ def _heads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def consensus_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.all_pairs(_heads(spark, d)[2], 41)
+    return calibrate.all_pairs(_heads(spark, d)[2], 41).select("a", "b", "d")
 
 
 def dmax(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +202,7 @@ def dmax(spark: SparkSession, d: str) -> DataFrame:
 def _histogram(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     strings = _heads(spark, d)[2]
     limit = calibrate.distance_limit(strings)
-    return calibrate.histogram(calibrate.all_pairs(strings, limit), limit), limit
+    return calibrate.histogram(calibrate.all_pairs(strings, limit, 0), limit), limit
 
 
 def distance_histogram(spark: SparkSession, d: str) -> DataFrame:
