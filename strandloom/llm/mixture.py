@@ -73,12 +73,11 @@ def shares(counted: DataFrame, targets: DataFrame, blocks: int = 10_000) -> Data
     ``counted`` is (source, tokens). Only sums by source are gathered.
     """
     held = cut_lineage(counted.groupBy("source").agg(F.sum("tokens").alias("tokens")))  # read twice, tokens are counted once
-    total = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
+    total = held.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     goals = targets.where("source is not null").groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("g")).select("source", "g.*")
-    size = F.greatest(F.ceil(F.col("total") / blocks), F.lit(1))
     claims = (
-        goals.join(held, "source", "left").join(F.broadcast(total))  # the total is one row
-        .select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), "total", size.alias("block"))
+        goals.join(held, "source", "left")
+        .select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(total).cast("long").alias("total"), F.lit(max(1, -(-total // blocks))).cast("long").alias("block"))
         .withColumn("capacity", F.col("tokens") * F.coalesce("max_repeats", F.lit(1)))
         .withColumn("cap", F.floor(F.col("capacity") / F.col("block")))
         .withColumn("weight", F.col("target_share")).withColumn("seats", F.floor(F.col("total") / F.col("block"))).withColumn("whole", F.lit(1))
