@@ -24,9 +24,9 @@ def merge_components(strings: DataFrame, edges: DataFrame, tau: int) -> DataFram
 def closest_apart(merged: DataFrame, edges: DataFrame, keep: int) -> DataFrame:
     """(c_post, components, unions): the least kept distance between components, keep + 1 where there is none."""
     x, y = merged.select(F.col("idx").alias("a"), F.col("label").alias("la")), merged.select(F.col("idx").alias("b"), F.col("label").alias("lb"))
-    least = edges.where(F.col("d") <= keep).join(x, "a").join(y, "b").where("la <> lb").agg(F.coalesce(F.min("d"), F.lit(keep + 1)).cast("int").alias("c_post"))
-    counts = merged.agg(F.count_distinct("label").alias("components"), (F.count("*") - F.count_distinct("label")).alias("unions"))
-    return least.join(F.broadcast(counts))  # one row each
+    least = edges.where(F.col("d") <= keep).join(x, "a").join(y, "b").where("la <> lb").agg(F.min("d")).first()[0]
+    c_post = F.lit(keep + 1 if least is None else least).cast("int").alias("c_post")
+    return merged.agg(c_post, F.count_distinct("label").alias("components"), (F.count("*") - F.count_distinct("label")).alias("unions"))
 
 
 def near_strings(rest: DataFrame, strings: DataFrame, tau: int) -> DataFrame:
