@@ -56,7 +56,7 @@ def anchor_keys(reads: DataFrame, rounds: int, occurrences: int) -> DataFrame:
     """(idx, it, pos, key): the keys of the first ``occurrences`` places of each round's anchor.
 
     A key folds the six symbols after the anchor in base 5; a place past the end counts 4, an invalid symbol 255, which is
-    why the fold is arithmetic. Where the reads are partitioned by ``idx`` nothing is shuffled.
+    why the fold is arithmetic. Keys are folded before occurrences are numbered, so no read is shuffled.
     """
     schedule = reads.sparkSession.createDataFrame([(code, it) for it, code in enumerate(anchor_schedule()[:rounds])], "code int, it int")
     found = gram_rows(reads, ANCHOR, ["read"]).join(F.broadcast(schedule), "code")  # at most 256 rows
@@ -66,7 +66,8 @@ def anchor_keys(reads: DataFrame, rounds: int, occurrences: int) -> DataFrame:
         code = base_code(F.expr(f"substring(read, pos + {ANCHOR + j + 1}, 1)"))
         symbol = F.when(F.col("pos") + ANCHOR + j >= F.length("read"), PAST_END).when(code < 0, INVALID).otherwise(code)
         key = key * 5 + symbol
-    return found.withColumn("__n", nth).where(F.col("__n") <= occurrences).select("idx", "it", "pos", key.alias("key"))
+    folded = found.select("idx", "it", "pos", key.alias("key"))
+    return folded.withColumn("__n", nth).where(F.col("__n") <= occurrences).select("idx", "it", "pos", "key")
 
 
 def signatures(reads: DataFrame) -> DataFrame:

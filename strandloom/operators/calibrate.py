@@ -18,7 +18,7 @@ from strandloom.operators.candidates import MERGE_ROUNDS, THETA_MERGE, bucket_pa
 
 MIN_GAP = 2
 #: Strings that one block of the exact pair search holds.
-BLOCK = 1024
+BLOCK = 512
 
 
 @dataclass

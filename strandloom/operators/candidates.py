@@ -15,18 +15,23 @@ from strandloom.functions.encode import SIG_WORDS, anchor_keys, hamming, signatu
 BUCKET_CAP = 4096
 CORE_ROUNDS, MERGE_ROUNDS = 64, 96
 THETA_CORE, THETA_MERGE = 60, 96
+#: Keys of a bucket that meet all its others in one task.
+SLICE = 256
 
 
 def capped(keys: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
     """The keys of buckets with 2 to ``cap`` of them. Sizes are counted partly before the shuffle, so that an oversized
     bucket, which takes no part, is never gathered in one task."""
-    sizes = keys.groupBy("it", "key").agg(F.count("*").alias("m")).where(F.col("m").between(2, cap)).select("it", "key")
+    sizes = keys.groupBy("it", "key").agg(F.count("*").alias("m")).where(F.col("m").between(2, cap)).select("it", "key", F.ceil(F.col("m") / SLICE).cast("int").alias("slices"))
     return keys.join(sizes, ["it", "key"])
 
 
-def _side(kept: DataFrame, idx: str, prefix: str) -> DataFrame:
+def _side(kept: DataFrame, idx: str, prefix: str, sliced: bool) -> DataFrame:
+    """One side of the join. A large bucket is cut into slices on one side and repeated for each on the other, so that its
+    pairs, which grow with the square of its size, spread over tasks."""
     words = [F.col(f"s{b}").alias(f"{prefix}{b}") for b in range(SIG_WORDS) if f"s{b}" in kept.columns]
-    return kept.select("it", "key", F.col("idx").alias(idx), *words)
+    part = F.pmod(F.xxhash64("idx"), F.col("slices")).cast("int") if sliced else F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    return kept.select("it", "key", F.col("idx").alias(idx), *words, part.alias("part"))
 
 
 def bucket_pairs(keys: DataFrame, cap: int = BUCKET_CAP, theta: int | None = None) -> DataFrame:
@@ -35,14 +40,14 @@ def bucket_pairs(keys: DataFrame, cap: int = BUCKET_CAP, theta: int | None = Non
     With ``theta`` the keys carry their owner's signature, and pairs that differ in more bits end inside the join.
     """
     kept = capped(keys, cap)
-    met = _side(kept, "a", "x").join(_side(kept, "b", "y"), ["it", "key"]).where("a < b")
+    met = _side(kept, "a", "x", True).join(_side(kept, "b", "y", False), ["it", "key", "part"]).where("a < b")
     return (met if theta is None else met.where(hamming() <= theta)).select("a", "b")
 
 
 def sided_pairs(left: DataFrame, right: DataFrame, cap: int = BUCKET_CAP, theta: int | None = None) -> DataFrame:
     """(a, b) with a from ``left`` and b from ``right``; a bucket's size counts the keys of both sides."""
     kept = capped(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))), cap)
-    met = _side(kept.where("side = 0"), "a", "x").join(_side(kept.where("side = 1"), "b", "y"), ["it", "key"])
+    met = _side(kept.where("side = 0"), "a", "x", True).join(_side(kept.where("side = 1"), "b", "y", False), ["it", "key", "part"])
     return (met if theta is None else met.where(hamming() <= theta)).select("a", "b")
 
 

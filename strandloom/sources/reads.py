@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators.skew import ordered_positions
+from strandloom.session import partitions_for
 
 
 def parse_lines(df: DataFrame, text_col: str = "value") -> DataFrame:
@@ -59,4 +60,4 @@ def index_reads(unique: DataFrame) -> DataFrame:
     set is its smallest read."""
     placed = ordered_positions(unique.select("read", "len").withColumn("__one", F.lit(0)), "__one", "read")
     indexed = placed.select((F.col("position") - 1).alias("idx"), "read", "len")
-    return indexed.repartition("idx")
+    return indexed.repartition(partitions_for(unique.sparkSession), "idx")  # a stated number: rows are few here, their grams are many
