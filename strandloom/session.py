@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,18 @@ def local_session(cores: int = 8, app: str = "strandloom") -> SparkSession:
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once an application; they need not have it installed."""
+    if spark.sparkContext.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="strandloom-code-")) / package.name), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(spark.sparkContext.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in spark.checkpoint.dir; a local one only where none is named (tests)."""
     context = spark.sparkContext
