@@ -9,7 +9,7 @@ unless that would leave less than half of a text. Signatures travel to their buc
 once and gives its pairs; each pair is then verified by exact edit distance.
 
 A pair is lost only if all its shared partitions fail these rules: about 1 in 4,000 pairs of 110-letter reads at 8 edits or
-less, measured. Texts under ``SHORT`` characters are too short for signatures and are compared exactly within their length.
+less, measured. Texts under ``SHORT`` characters are too short for signatures; a join on their pieces finds all their pairs.
 
 Defined results: a null text takes no part; equal texts are one class, whose id is the smallest (``text_classes`` gives the
 members), and pairs are given between classes; case matters; the empty text is a short text; an empty table gives no rows;
@@ -218,9 +218,21 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, edits: int = 8, q: int
 
 
 def _short_pairs(texts: DataFrame, edits: int) -> DataFrame:
-    """Pairs with a text too short for signatures, by an equi-join on length ranges and the exact distance."""
-    near = texts.where(F.length("text") < SHORT + edits).withColumn("slot", F.floor(F.length("text") / (edits + 1)))
-    left = near.select(F.col("id").alias("a"), F.col("text").alias("x"), F.explode(F.sequence(F.col("slot") - 1, F.col("slot") + 1)).alias("slot"))
-    right = near.select(F.col("id").alias("b"), F.col("text").alias("y"), "slot")
-    joined = left.join(right, "slot").where("a < b").where((F.least(F.length("x"), F.length("y")) < SHORT) & (F.abs(F.length("x") - F.length("y")) <= edits))
-    return joined.select("a", "b", F.levenshtein("x", "y", edits).alias("d")).where("d >= 0")
+    """Pairs with a text too short for signatures, without loss. The shorter text of a pair is cut into ``edits`` + 1 even
+    pieces; one of them stands unchanged in the other text, shifted by no more than the edits on either side of it allow.
+    So pairs meet in an equi-join on length, piece and letters, and their distance is taken once."""
+    pieces, near = edits + 1, texts.where(F.length("text") < SHORT + edits)
+    begin, size = f"int(i * l div {pieces})", f"int((i + 1) * l div {pieces} - i * l div {pieces})"
+    number = F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i")
+    shorter = near.where(F.length("text") < SHORT).select(F.col("id").alias("s"), "text", F.length("text").alias("l"), number)
+    shorter = shorter.select("s", "l", "i", F.expr(f"substring(text, {begin} + 1, {size})").alias("piece"))
+    longer = near.select(F.col("id").alias("r"), "text", F.length("text").alias("n"))
+    longer = longer.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - edits), F.col("n"))).alias("l")).where(F.col("l") < SHORT).select("*", number)
+    least = F.expr(f"greatest(0, {begin} - i, {begin} + n - l - ({edits} - i))")
+    most = F.expr(f"least(n - {size}, {begin} + i, {begin} + n - l + ({edits} - i))")
+    places = longer.where(least <= most).select("r", "text", "n", "l", "i", F.explode(F.sequence(least, most)).alias("at"))
+    places = places.select("r", "n", "l", "i", F.expr(f"substring(text, at + 1, {size})").alias("piece")).distinct()
+    met = shorter.join(places, ["l", "i", "piece"]).where("s < r OR (s > r AND l < n)")
+    pairs = met.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b")).distinct()
+    left, right = near.select(F.col("id").alias("a"), F.col("text").alias("x")), near.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.levenshtein("x", "y", edits).alias("d")).where("d >= 0")

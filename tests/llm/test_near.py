@@ -56,6 +56,19 @@ def test_short_empty_null_and_equal_texts(spark):
     assert found(df.limit(0)) == {}
 
 
+def test_short_texts_lose_no_pair(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(40):
+        origin = "".join(rng.choice("ACGT") for _ in range(rng.choice([7, 9, 12, 25, 40, 58, 63, 64, 66])))
+        rows += [(4 * k + m, edited(rng, origin, rng.choice([0, 3, 8, 9]))) for m in range(4)]
+    want = brute(rows)
+    got = found(spark.createDataFrame(rows, "read_id long, read string"))
+    texts = dict(rows)
+    short = {p: d for p, d in want.items() if min(len(texts[p[0]]), len(texts[p[1]])) < SHORT}
+    assert set(got.items()) <= set(want.items()) and set(short.items()) <= set(got.items()) and len(short) > 100
+
+
 def test_long_texts(spark):
     rng = random.Random(5)
     words = [f"wörd{k}" for k in range(500)]
