@@ -14,12 +14,16 @@ share; ties between quotients go to the source earlier in binary order; empty ta
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.session import cut_lineage
 
@@ -28,6 +32,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer runs of one kind are cut before encoding, whose cost grows faster than a run.
 PIECE = 100_000
+#: Messages of a shard, and the blocks it should hold at least, so that what its last, unfilled block lacks weighs little.
+SHARD_ROWS, SHARD_BLOCKS = 20_000, 64
 
 
 @lru_cache(1)
@@ -54,26 +60,61 @@ def token_counts(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     return source.mapInArrow(count, fields)
 
 
+def highest_quotients(weight: np.ndarray, cap: np.ndarray, seats: int) -> np.ndarray:
+    """Seats of each row by the highest weight / (2 n + 1), ties to the earlier row. Bisection finds a quotient that no more
+    than ``seats`` seats lie above, and only the few left are given one by one, so the work grows with rows, not with seats."""
+    cap = np.where(weight > 0, np.maximum(cap, 0), 0)
+    seats = min(int(seats), int(cap.sum()))
+
+    def above(quotient: float) -> np.ndarray:
+        return np.minimum(cap, np.ceil(np.maximum(weight / quotient - 1, 0) / 2).astype(np.int64))
+
+    high = float(weight.max(initial=0.0)) * 2 or 1.0
+    low = high / (4 * max(int(cap.max(initial=0)), 1) + 4) * (float(weight[cap > 0].min(initial=high)) / high)
+    for _ in range(200):
+        middle = (low + high) / 2
+        if not low < middle < high:
+            break
+        low, high = (low, middle) if above(middle).sum() <= seats else (middle, high)
+    given = above(high)
+    heap = [(-weight[i] / (2 * given[i] + 1), i) for i in np.flatnonzero(given < cap)]
+    heapq.heapify(heap)
+    for _ in range(seats - int(given.sum())):
+        i = heap[0][1]
+        given[i] += 1
+        if given[i] < cap[i]:
+            heapq.heapreplace(heap, (-weight[i] / (2 * given[i] + 1), i))
+        else:
+            heapq.heappop(heap)
+    return given
+
+
 def apportion(claims: DataFrame, key: list[str], within: list[str], seats: str) -> DataFrame:
     """``claims`` plus ``quota``: ``seats`` blocks go to the rows of each ``within`` by the highest weight / (2 n + 1).
 
-    ``claims`` has ``weight`` and ``cap``, the most blocks a row can take. There is a row here for a source or a shard, and
-    the quotients made are as many as blocks could be given, never as many as documents.
+    ``claims`` has ``weight`` and ``cap``, the most blocks a row can take. There is a row here for a source or a shard of
+    many messages, never one for a message or a block.
     """
-    most = F.least(F.col("cap"), F.col(seats))
-    quotients = claims.where((F.col("weight") > 0) & (most > 0)).select(*within, *key, seats, F.explode(F.sequence(F.lit(0).cast("long"), most - 1)).alias("n"), F.col("weight"))
-    ranked = quotients.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy((F.col("weight") / (2 * F.col("n") + 1)).desc(), *key)))
-    given = ranked.where(F.col("rank") <= F.col(seats)).groupBy(*within, *key).agg(F.count("*").alias("quota"))
+    schema = T.StructType([claims.schema[c] for c in [*within, *key]] + [T.StructField("quota", T.LongType())])
+
+    def give(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key, kind="stable").reset_index(drop=True)
+        quota = highest_quotients(rows["weight"].fillna(0).to_numpy(np.float64), rows["cap"].fillna(0).to_numpy(np.int64), rows[seats].iloc[0])
+        return rows[[*within, *key]].assign(quota=quota)
+
+    given = claims.select(*within, *key, "weight", "cap", seats).groupBy(*within).applyInPandas(give, schema)
     return claims.join(given, [*within, *key], "left").select(*claims.columns, F.coalesce("quota", F.lit(0)).alias("quota"))
 
 
-def shares(counted: DataFrame, targets: DataFrame, blocks: int = 10_000) -> DataFrame:
+def shares(counted: DataFrame, targets: DataFrame, blocks: int | None = None) -> DataFrame:
     """One row for each target source: tokens, capacity, the blocks given, the share reached and whether it falls short.
 
-    ``counted`` is (source, tokens). Only sums by source are gathered.
+    ``counted`` is (source, tokens). Only sums by source are gathered. There are 10,000 blocks or, where that is more, as
+    many as give each shard of ``SHARD_ROWS`` messages ``SHARD_BLOCKS`` of them.
     """
-    held = cut_lineage(counted.groupBy("source").agg(F.sum("tokens").alias("tokens")))  # read twice, tokens are counted once
-    total = held.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    held = cut_lineage(counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))  # read twice, tokens are counted once
+    total, rows = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    blocks = blocks or max(10_000, rows * SHARD_BLOCKS // SHARD_ROWS)
     goals = targets.where("source is not null").groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("g")).select("source", "g.*")
     claims = (
         goals.join(held, "source", "left")
@@ -91,15 +132,16 @@ def shares(counted: DataFrame, targets: DataFrame, blocks: int = 10_000) -> Data
     )
 
 
-def select_blocks(counted: DataFrame, plan: DataFrame, seed: int = 7, shard_rows: int = 20_000) -> DataFrame:
+def select_blocks(counted: DataFrame, plan: DataFrame, seed: int = 7, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, source, tokens, times): how often each message is used, for those used at least once.
 
-    A shard holds about ``shard_rows`` messages of one source, so a source with a third of all messages is spread over as
-    many tasks as it needs. A message belongs to the block that its middle token falls into. ``counted`` is
+    A shard holds about ``shard_rows`` messages of one source and ``SHARD_BLOCKS`` blocks at least, so a source with a third
+    of all messages is spread over as many tasks as it needs. A message belongs to the block that its middle token falls into. ``counted`` is
     (doc_id, source, tokens).
     """
-    rows = counted.groupBy("source").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
-    goals = plan.where("quota > 0").select("source", "block", "quota", "max_repeats").join(rows, "source")
+    rows = counted.groupBy("source").agg(F.ceil(F.count("*") / shard_rows).alias("by_rows"), F.sum("tokens").alias("held"))
+    by_tokens = F.floor(F.col("held") / (F.col("block") * SHARD_BLOCKS))
+    goals = plan.where("quota > 0").join(rows, "source").select("source", "block", "quota", "max_repeats", F.greatest(F.lit(1), F.least("by_rows", by_tokens)).alias("shards"))
     placed = counted.join(goals, "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")))
     sizes = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("weight"), F.first("block").alias("block"), F.first("quota").alias("seats"), F.first("max_repeats").alias("repeats"))
     sizes = sizes.withColumn("filled", F.greatest(F.lit(1), F.ceil(F.col("weight") / F.col("block")))).withColumn("cap", F.col("filled") * F.coalesce("repeats", F.lit(1)))

@@ -1,8 +1,10 @@
 import os
+import random
 
+import numpy as np
 import pytest
 
-from strandloom.llm.mixture import TOKENIZER, apportion, select_blocks, shares, token_counts
+from strandloom.llm.mixture import TOKENIZER, apportion, highest_quotients, select_blocks, shares, token_counts
 
 
 def divisors(weights, caps, seats):
@@ -22,6 +24,27 @@ def test_highest_quotients(spark):
     assert {r["source"]: r["quota"] for r in apportion(df, ["source"], ["whole"], "seats").collect()} == divisors(weights, caps, 25)
 
 
+def test_highest_quotients_by_bisection():
+    rng = random.Random(3)
+    for _ in range(200):
+        names = [f"s{k:02}" for k in range(rng.randrange(0, 9))]
+        weights = {k: rng.choice([0.0, 1.0, 2.0, 3.0, rng.random(), rng.random() * 1000]) for k in names}
+        caps, seats = {k: rng.choice([0, 1, 5, 40, 10**9]) for k in names}, rng.choice([0, 1, 7, 60])
+        got = highest_quotients(np.array([weights[k] for k in names]), np.array([caps[k] for k in names], np.int64), seats)
+        assert dict(zip(names, got.tolist())) == divisors(weights, caps, seats)
+    many = highest_quotients(np.array([0.5, 0.3, 0.2]), np.array([10**12, 10**8, 10**12]), 10**9)
+    assert many.sum() == 10**9 and many[1] == 10**8 and abs(many[0] / many[2] - 2.5) < 1e-6
+
+
+def test_shards_smaller_than_a_block_still_fill_the_quota(spark):
+    counted = spark.createDataFrame([(i, "big" if i % 4 else "small", 10) for i in range(4000)], "doc_id long, source string, tokens long")
+    goals = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], "source string, target_share double, max_repeats int")
+    plan = shares(counted.select("source", "tokens"), goals, blocks=100)
+    quota = {r["source"]: r["quota"] * r["block"] for r in plan.collect()}
+    used = {r["source"]: r["t"] for r in select_blocks(counted, plan, shard_rows=10).selectExpr("source", "tokens * times as t").groupBy("source").sum("t").withColumnRenamed("sum(t)", "t").collect()}
+    assert set(used) == {"big", "small"} and all(abs(used[k] - quota[k]) <= 0.03 * quota[k] for k in quota)
+
+
 def test_shares_and_selection(spark):
     rows = [(i, "big", 100) for i in range(600)] + [(1000 + i, "small", 50) for i in range(40)] + [(2000 + i, "other", 10) for i in range(100)] + [(3000, None, 5), (3001, "big", 0)]
     counted = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
