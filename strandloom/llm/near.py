@@ -2,14 +2,14 @@
 
 A text is the set of its ``q``-grams. The domain of grams is partitioned by a hash, and a text is projected onto each
 partition; texts a few edits apart leave most partitions untouched, so they share the signatures of those. The number of
-partitions follows the band of sizes a text falls into, near an edge it takes part in both bands, and ``DRAWS`` independent
-partitionings are enumerated. A signature must hold two grams or more that reach over ``MIN_SPAN`` further places, so that
+partitions follows the band of sizes a text falls into, near an edge it takes part in both bands, and independent
+partitionings are drawn until a text has ``ENOUGH`` signatures. A signature must hold two grams or more that reach over ``MIN_SPAN`` further places, so that
 it is specific. Grams in more than ``hot_share`` of all texts (counted over all of them) name no text and are left out,
 unless that would leave less than half of a text. Signatures travel to their buckets as packed arrays; a bucket is sorted
 once and gives its pairs; each pair is then verified by exact edit distance.
 
-A pair is lost only if all its shared partitions fail these rules: about 1 in 4,000 pairs of 110-letter reads at 8 edits or
-less, measured. Texts under ``SHORT`` characters are too short for signatures; a join on their pieces finds all their pairs.
+A pair is lost only if all its shared partitions fail these rules; README gives the share by length and hot part. Texts
+under ``SHORT`` characters are too short for signatures; a join on their pieces finds all their pairs.
 
 Defined results: a null text takes no part; equal texts are one class, whose id is the smallest (``text_classes`` gives the
 members), and pairs are given between classes; case matters; the empty text is a short text; an empty table gives no rows;
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from strandloom.session import partitions_for
 
 BINS_BITS = 18
-DRAWS = 2
+#: Signatures a text draws for, more of them if a third of its grams is hot, and the draws it may take: edits that gather in
+#: the cold part of a text leave few of its signatures, and few partitions fill there in a draw.
+ENOUGH, ENOUGH_HOT, MOST_DRAWS = 100, 300, 32
 MIN_SPAN = 8
-SHORT = 64
+SHORT = 96
 ENTRIES_PER_BUCKET = 2_000_000
 _MULTIPLIER = np.uint64(1099511628211)
 _SIGNATURE = "bucket int, sigs binary, ids binary"
@@ -69,12 +71,20 @@ def grams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return _mix(hashed[whole]), owner[whole], place[whole]
 
 
-def _signatures(hashed: np.ndarray, owner: np.ndarray, place: np.ndarray, parts: np.ndarray, mode: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, text, first place) of each partition that a text fills well enough; ``parts`` by text."""
-    base = np.cumsum(parts) - parts
-    total = int(parts.sum())
-    sigs, texts, firsts = [], [], []
-    for draw in range(DRAWS):
+def _signatures(hashed: np.ndarray, owner: np.ndarray, place: np.ndarray, parts: np.ndarray, enough: np.ndarray, mode: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, text, first place) of each partition that a text fills well enough; ``parts`` by text. A text takes part in
+    draws until it has ``enough`` signatures; near texts stop at about the same draw, and share those of the fewer draws."""
+    count, seen = np.zeros(len(parts), np.int64), np.arange(len(parts))
+    sigs, texts, firsts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    for draw in range(MOST_DRAWS):
+        left = count[seen] < enough[seen]
+        if draw and not left.all():
+            mine, number = left[owner], np.cumsum(left) - 1
+            hashed, owner, place = hashed[mine], number[owner[mine]], place[mine]
+            seen, parts = seen[left], parts[left]
+        if not len(owner):
+            break
+        base, total = np.cumsum(parts) - parts, int(parts.sum())
         x = _mix(hashed ^ np.uint64((draw * 2 + mode + 1) * 0x9E3779B97F4A7C15 % 2**64))
         part = (x % parts[owner].astype(np.uint64)).astype(np.int64)
         cell = base[owner] + part
@@ -85,24 +95,26 @@ def _signatures(hashed: np.ndarray, owner: np.ndarray, place: np.ndarray, parts:
         first[cell[::-1]] = place[::-1]
         good = np.flatnonzero((np.bincount(cell, minlength=total) >= 2) & (last - first >= MIN_SPAN))
         text = np.searchsorted(base, good, "right") - 1
-        label = (good - base[text]).astype(np.uint64) | (parts[text].astype(np.uint64) << np.uint64(24)) | np.uint64((draw * 2 + mode) << 60)
+        label = (good - base[text]).astype(np.uint64) | (parts[text].astype(np.uint64) << np.uint64(24)) | np.uint64((draw * 2 + mode) << 52)
         sigs.append(_mix(sums[good] ^ _mix(label)))
-        texts.append(text)
+        texts.append(seen[text])
         firsts.append(first[good])
+        count[seen] += np.bincount(text, minlength=len(seen))
     return np.concatenate(sigs), np.concatenate(texts), np.concatenate(firsts)
 
 
 def part_enum(texts: list[str], hot: np.ndarray, q: int, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, index of the text, first place) of all signatures of some texts."""
-    chosen = [(i, n) for i, t in enumerate(texts) if len(t) + slack >= SHORT for n in bands(len(t), slack)]
+    chosen = [(i, n) for i, t in enumerate(texts) if len(t) >= SHORT for n in bands(len(t), slack)]
     index, parts = np.array([i for i, _ in chosen], np.int64), np.array([n for _, n in chosen], np.int64)
     hashed, owner, place = grams([texts[i] for i in index], q)
     cold = ~hot[(hashed >> np.uint64(64 - BINS_BITS)).astype(np.int64)]
-    sigs, text, first = _signatures(hashed[cold], owner[cold], place[cold], parts, 0)
-    few = 2 * np.bincount(owner[cold], minlength=len(parts)) < np.bincount(owner, minlength=len(parts))
+    named, whole = np.bincount(owner[cold], minlength=len(parts)), np.bincount(owner, minlength=len(parts))
+    sigs, text, first = _signatures(hashed[cold], owner[cold], place[cold], parts, np.where(3 * named < 2 * whole, ENOUGH_HOT, ENOUGH), 0)
+    few = 2 * named < whole
     if few.any():
         own = few[owner]
-        more = _signatures(hashed[own], owner[own], place[own], parts, 1)
+        more = _signatures(hashed[own], owner[own], place[own], parts, np.full(len(parts), ENOUGH), 1)
         sigs, text, first = (np.concatenate(pair) for pair in zip((sigs, text, first), more))
     return sigs, index[text], first
 
@@ -207,7 +219,7 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, edits: int = 8, q: int
     texts = rows.groupBy("text").agg(F.min("id").alias("id")).repartition(parts, "id").persist()
     known = texts.agg(F.count("*"), F.count_if(F.length("text") < SHORT), F.coalesce(F.avg(F.length("text")), F.lit(0.0))).first()
     hot = hot_bins(texts, q, max(hot_share * known[0], hot_least))
-    buckets = max(parts, int(known[0] * known[2] * 0.22 * DRAWS / ENTRIES_PER_BUCKET))
+    buckets = max(parts, int(known[0] * (known[2] * 0.22 + ENOUGH) / ENTRIES_PER_BUCKET))
     pairs = candidate_pairs(texts, hot, q, edits, buckets).repartition(parts, "a").dropDuplicates(["a", "b"])
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     distance = F.levenshtein("x", "y", edits)

@@ -1,6 +1,8 @@
 import random
 
-from strandloom.llm.near import SHORT, near_pairs, text_classes
+import numpy as np
+
+from strandloom.llm.near import BINS_BITS, SHORT, grams, near_pairs, part_enum, text_classes
 
 
 def lev(a, b, most):
@@ -85,3 +87,34 @@ def test_family_that_holds_most_texts(spark):
     rows = list(enumerate(sorted(family))) + [(1000 + k, "".join(rng.choice("ACGT") for _ in range(110))) for k in range(60)]
     want, got = brute(rows), found(spark.createDataFrame(rows, "read_id long, read string"), hot_share=0.1, hot_least=1)
     assert set(got.items()) <= set(want.items()) and len(got) >= 0.99 * len(want)
+
+
+def replaced(rng, s, edits):
+    s = list(s)
+    for at in rng.sample(range(len(s)), edits):
+        s[at] = rng.choice([c for c in "ACGT" if c != s[at]])
+    return "".join(s)
+
+
+def test_eight_edits_in_64_to_95_letters_lose_no_pair(spark):
+    rng = random.Random(31)
+    rows = []
+    for k in range(100):
+        origin = "".join(rng.choice("ACGT") for _ in range(64 + k % 32))
+        rows += [(2 * k, origin), (2 * k + 1, replaced(rng, origin, 8))]
+    got = found(spark.createDataFrame(rows, "read_id long, read string"))
+    assert len(got) >= 100 and got == brute(rows)
+
+
+def test_texts_with_a_large_hot_part_share_signatures():
+    rng = random.Random(32)
+    for hot_letters, length, most in ((0, 96, 4), (0, 110, 2), (40, 110, 5), (50, 110, 8)):
+        head = "".join(rng.choice("ACGT") for _ in range(hot_letters))
+        hot = np.zeros(1 << BINS_BITS, bool)
+        hot[(grams([head], 8)[0] >> np.uint64(64 - BINS_BITS)).astype(np.int64)] = True
+        texts = [head + "".join(rng.choice("ACGT") for _ in range(length - hot_letters)) for _ in range(500)]
+        sigs, text, _ = part_enum(texts + [replaced(rng, t, 8) for t in texts], hot, 8, 8)
+        own = [set() for _ in range(1000)]
+        for s, t in zip(sigs.tolist(), text.tolist()):
+            own[t].add(s)
+        assert sum(own[i].isdisjoint(own[500 + i]) for i in range(500)) <= most, (hot_letters, length)
