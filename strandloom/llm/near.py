@@ -6,7 +6,7 @@ partitions follows the band of sizes a text falls into, near an edge it takes pa
 partitionings are drawn until a text has ``ENOUGH`` signatures. A signature must hold two grams or more that reach over ``MIN_SPAN`` further places, so that
 it is specific. Grams in more than ``hot_share`` of all texts (counted over all of them) name no text and are left out,
 unless that would leave less than half of a text. Signatures travel to their buckets as packed arrays; a bucket is sorted
-once and gives its pairs; each pair is then verified by exact edit distance.
+once and gives its pairs; a signature counted as large is cut into slices that meet two by two over tasks; each pair is then verified by exact edit distance.
 
 A pair is lost only if all its shared partitions fail these rules; README gives the share by length and hot part. Texts
 under ``SHORT`` characters are too short for signatures; a join on their pieces finds all their pairs.
@@ -35,7 +35,13 @@ MIN_SPAN = 8
 SHORT = 96
 ENTRIES_PER_BUCKET = 2_000_000
 _MULTIPLIER = np.uint64(1099511628211)
-_SIGNATURE = "bucket int, sigs binary, ids binary"
+#: Entries of a slice: a signature of more than two slices is cut, and its slices meet two by two, each two in a group.
+SLICE = 2048
+#: Texts up to which signatures are counted over all of them; one in ``SAMPLED`` beyond. At most ``MOST_LARGE`` signatures are cut.
+COUNTED, SAMPLED, MOST_LARGE = 20_000, 64, 200_000
+#: Entries a batch repeats for slices before it sends them.
+REPEATED = 2_000_000
+_SIGNATURE = "bucket long, sigs binary, ids binary"
 #: Bits of a packed signature that hold where it begins, in steps of two places, modulo 128.
 PLACE_BITS = 6
 
@@ -153,24 +159,86 @@ def hot_bins(texts: DataFrame, q: int, least: float) -> np.ndarray:
     return hot
 
 
-def _emit(texts: DataFrame, hot: np.ndarray, q: int, slack: int, buckets: int) -> DataFrame:
+class Slices:
+    """Signatures that are cut, with their numbers of slices, and the groups in which their slices meet; groups come after
+    ``buckets``: first each slice with itself, then each two of them."""
+
+    def __init__(self, sigs: np.ndarray, slices: np.ndarray, buckets: int):
+        order = np.argsort(sigs)
+        self.sigs, self.slices = sigs[order], slices[order]
+        groups = self.slices * (self.slices + 1) // 2
+        self.begin = buckets + np.cumsum(groups) - groups
+
+    def find(self, sigs: np.ndarray) -> np.ndarray:
+        """The place of each signature among those that are cut, or -1."""
+        if not len(self.sigs):
+            return np.full(len(sigs), -1)
+        at = np.minimum(np.searchsorted(self.sigs, sigs), len(self.sigs) - 1)
+        return np.where(self.sigs[at] == sigs, at, -1)
+
+    @staticmethod
+    def number(ids: np.ndarray, slices: np.ndarray | int) -> np.ndarray:
+        return (_mix(ids.astype(np.int64).view(np.uint64)) % np.asarray(slices).astype(np.uint64)).astype(np.int64)
+
+    def spread(self, at: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(entry, group) for each group of an entry's signature that its slice takes part in, some entries at a time."""
+        for some in np.array_split(np.arange(len(at)), int(self.slices[at].sum()) // REPEATED + 1):
+            n = self.slices[at[some]]
+            entry = np.repeat(some, n)
+            other = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+            k = self.slices[at[entry]]
+            own = self.number(ids[entry], k)
+            low, high = np.minimum(own, other), np.maximum(own, other)
+            yield entry, self.begin[at[entry]] + np.where(low == high, low, k + high * (high - 1) // 2 + low)
+
+    def first_met(self, group: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of a group are its own; those within a slice belong to the group of the slice with itself."""
+        at = int(np.searchsorted(self.begin, group, "right")) - 1
+        if at < 0 or group - self.begin[at] < self.slices[at]:
+            return np.ones(len(a), bool)
+        return self.number(a, self.slices[at]) != self.number(b, self.slices[at])
+
+
+def large_signatures(texts: DataFrame, hot: np.ndarray, q: int, slack: int, buckets: int, known: int, size: int = SLICE) -> Slices:
+    """Counts signatures before any are gathered. A sample will do: a signature that is taken for small is met in one group."""
+    rate = 1 if known <= COUNTED else SAMPLED
     shared = texts.sparkSession.sparkContext.broadcast(hot)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, n = np.unique(part_enum(batch.column(0).to_pylist(), shared.value, q, slack)[0].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"sig": sigs, "n": n.astype(np.int64)})
+
+    counts = texts.where(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0).select("text").mapInArrow(count, "sig long, n long").groupBy("sig").agg((F.sum("n") * rate).alias("n"))
+    rows = counts.where(F.col("n") > 2 * size).orderBy(F.desc("n")).limit(MOST_LARGE).collect()
+    return Slices(np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([-(-r[1] // size) for r in rows], np.int64), buckets)
+
+
+def _emit(texts: DataFrame, hot: np.ndarray, q: int, slack: int, buckets: int, large: Slices) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast((hot, large))
+
+    def pack(bucket: np.ndarray, sigs: np.ndarray, ids: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        by = np.lexsort((ids, bucket))
+        place = ((first[by] >> 1) & ((1 << PLACE_BITS) - 1)).astype(np.uint64)
+        bucket, own, code = bucket[by], ids[by], ((sigs[by] >> np.uint64(32 + PLACE_BITS) << np.uint64(PLACE_BITS)) | place).astype(np.uint32)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        rows = [(int(bucket[a]), _pack(code[a:b]), _pack(np.diff(own[a:b], prepend=0))) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "sigs", "ids"])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, large = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            values = batch.column(1).to_pylist()
-            sigs, text, first = part_enum([values[i] for i in order], shared.value, q, slack)
-            if not len(sigs):
-                continue
-            bucket = (sigs % np.uint64(buckets)).astype(np.int32)
-            by = np.lexsort((text, bucket))
-            place = ((first[by] >> 1) & ((1 << PLACE_BITS) - 1)).astype(np.uint64)
-            bucket, own, code = bucket[by], ids[order][text[by]], ((sigs[by] >> np.uint64(32 + PLACE_BITS) << np.uint64(PLACE_BITS)) | place).astype(np.uint32)
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            rows = [(int(bucket[a]), _pack(code[a:b]), _pack(np.diff(own[a:b], prepend=0))) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "sigs", "ids"])
+            sigs, text, first = part_enum(batch.column(1).to_pylist(), hot, q, slack)
+            ids = batch.column(0).to_numpy()[text]
+            at = large.find(sigs)
+            small = at < 0
+            if small.any():
+                yield pack((sigs[small] % np.uint64(buckets)).astype(np.int64), sigs[small], ids[small], first[small])
+            if not small.all():
+                at, sigs, ids, first = at[~small], sigs[~small], ids[~small], first[~small]
+                for entry, group in large.spread(at, ids):
+                    if len(entry):
+                        yield pack(group, sigs[entry], ids[entry], first[entry])
 
     return texts.select("id", "text").mapInArrow(emit, _SIGNATURE)
 
@@ -200,18 +268,20 @@ def bucket_pairs(codes: np.ndarray, ids: np.ndarray, slack: int) -> tuple[np.nda
     return known[pairs >> 32], known[pairs & 0xFFFFFFFF]
 
 
-def candidate_pairs(texts: DataFrame, hot: np.ndarray, q: int, slack: int, buckets: int) -> DataFrame:
-    """(a, b), a < b: pairs of ids that share a signature, each once for every bucket they meet in."""
+def candidate_pairs(texts: DataFrame, hot: np.ndarray, q: int, slack: int, buckets: int, large: Slices) -> DataFrame:
+    """(a, b), a < b: pairs of ids that share a signature, each once for every group they meet in."""
+    shared = texts.sparkSession.sparkContext.broadcast(large)
 
-    def meet(group: pa.Table) -> pa.Table:
+    def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         ids = [np.cumsum(d) for d in _unpack(group["ids"], np.int64)]
         a, b = bucket_pairs(np.concatenate(_unpack(group["sigs"], np.uint32)), np.concatenate(ids), slack)
-        return pa.table({"a": a, "b": b})
+        own = shared.value.first_met(key[0].as_py(), a, b)
+        return pa.table({"a": a[own], "b": b[own]})
 
-    return _emit(texts, hot, q, slack, buckets).groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return _emit(texts, hot, q, slack, buckets, large).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def near_pairs(df: DataFrame, id_col: str, text_col: str, edits: int = 8, q: int = 8, hot_share: float = 0.01, hot_least: int = 50) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, text_col: str, edits: int = 8, q: int = 8, hot_share: float = 0.01, hot_least: int = 50, size: int = SLICE) -> DataFrame:
     """(a, b, d) with a < b: classes of equal texts at an edit distance d of ``edits`` or less."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     parts = partitions_for(df.sparkSession)
@@ -220,12 +290,13 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, edits: int = 8, q: int
     known = texts.agg(F.count("*"), F.count_if(F.length("text") < SHORT), F.coalesce(F.avg(F.length("text")), F.lit(0.0))).first()
     hot = hot_bins(texts, q, max(hot_share * known[0], hot_least))
     buckets = max(parts, int(known[0] * (known[2] * 0.22 + ENOUGH) / ENTRIES_PER_BUCKET))
-    pairs = candidate_pairs(texts, hot, q, edits, buckets).repartition(parts, "a").dropDuplicates(["a", "b"])
+    large = large_signatures(texts, hot, q, edits, buckets, known[0], size)
+    pairs = candidate_pairs(texts, hot, q, edits, buckets, large).repartition(parts, "a").dropDuplicates(["a", "b"])
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     distance = F.levenshtein("x", "y", edits)
     found = pairs.join(left, "a").join(right, "b").select("a", "b", distance.alias("d")).where("d >= 0")
     if known[1]:
-        found = found.unionByName(_short_pairs(texts, edits)).distinct()
+        found = found.unionByName(_short_pairs(texts, edits))  # signatures are of longer texts only, so no pair comes twice
     return found
 
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from strandloom.llm.near import BINS_BITS, SHORT, grams, near_pairs, part_enum, text_classes
+from strandloom.llm.near import BINS_BITS, SHORT, _emit, grams, hot_bins, large_signatures, near_pairs, part_enum, text_classes
 
 
 def lev(a, b, most):
@@ -118,3 +118,19 @@ def test_texts_with_a_large_hot_part_share_signatures():
         for s, t in zip(sigs.tolist(), text.tolist()):
             own[t].add(s)
         assert sum(own[i].isdisjoint(own[500 + i]) for i in range(500)) <= most, (hot_letters, length)
+
+
+def test_large_signatures_are_cut_into_slices(spark):
+    rng = random.Random(41)
+    origin = "".join(rng.choice("ACGT") for _ in range(110))
+    family = sorted({edited(rng, origin, 4) for _ in range(300)})
+    df = spark.createDataFrame(list(enumerate(family)), "read_id long, read string")
+    options = {"hot_share": 0.1, "hot_least": 1}
+    whole, cut = found(df, size=1000, **options), found(df, size=20, **options)
+    assert whole == cut and len(cut) > 1000
+    texts = df.selectExpr("read_id as id", "read as text")
+    hot = hot_bins(texts, 8, 0.1 * len(family))
+    large = large_signatures(texts, hot, 8, 8, 1, len(family), size=20)
+    rows = _emit(texts, hot, 8, 8, 1, large).selectExpr("bucket", "length(ids) div 8 as n").groupBy("bucket").sum("n").collect()
+    sliced = [r[1] for r in rows if r[0] > 0]
+    assert max(large.slices) > 5 and len(sliced) > 15 and max(sliced) <= 80
