@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.distance import block_distances
-from strandloom.operators.candidates import MERGE_ROUNDS, THETA_MERGE, sided_pairs, signed_keys, verified
+from strandloom.operators.candidates import BUCKET_CAP, MERGE_ROUNDS, THETA_MERGE, sided_pairs, signed_keys, verified
 from strandloom.operators.calibrate import BLOCK
 from strandloom.operators.components import labels
 
@@ -48,9 +48,9 @@ def near_strings(rest: DataFrame, strings: DataFrame, tau: int) -> DataFrame:
     return left.unionByName(right).groupBy("p", "q").applyInPandas(meet, "a long, b long, d int")
 
 
-def absorb_filtered(rest: DataFrame, strings: DataFrame, tau: int, theta: int = THETA_MERGE, occurrences: int = 4) -> DataFrame:
+def absorb_filtered(rest: DataFrame, strings: DataFrame, tau: int, theta: int = THETA_MERGE, occurrences: int = 4, cap: int | None = BUCKET_CAP) -> DataFrame:
     """(idx, core, d): the nearest string that the keys and signatures propose, the smallest of equally near ones."""
-    pairs = sided_pairs(signed_keys(rest, MERGE_ROUNDS, occurrences), signed_keys(strings, MERGE_ROUNDS, occurrences), theta=theta)
+    pairs = sided_pairs(signed_keys(rest, MERGE_ROUNDS, occurrences), signed_keys(strings, MERGE_ROUNDS, occurrences), cap, theta)
     near = verified(pairs, rest, strings, tau)
     return near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.col("a").alias("idx"), F.col("m.b").alias("core"), F.col("m.d").alias("d"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.distance import block_distances
-from strandloom.operators.candidates import MERGE_ROUNDS, THETA_MERGE, bucket_pairs, signed_keys, verified
+from strandloom.operators.candidates import BUCKET_CAP, MERGE_ROUNDS, THETA_MERGE, bucket_pairs, signed_keys, verified
 
 MIN_GAP = 2
 #: Strings that one block of the exact pair search holds.
@@ -65,9 +65,9 @@ def all_pairs(strings: DataFrame, limit: int, keep: int | None = None) -> DataFr
     return left.unionByName(right).groupBy("p", "q").applyInPandas(meet, "a long, b long, d int, n long")
 
 
-def filtered_pairs(strings: DataFrame, limit: int, theta: int = THETA_MERGE) -> DataFrame:
+def filtered_pairs(strings: DataFrame, limit: int, theta: int = THETA_MERGE, cap: int | None = BUCKET_CAP) -> DataFrame:
     """(a, b, d): the pairs within ``limit`` edits that the anchor keys and signatures propose."""
-    return verified(bucket_pairs(signed_keys(strings, MERGE_ROUNDS, 1), theta=theta), strings, strings, limit)
+    return verified(bucket_pairs(signed_keys(strings, MERGE_ROUNDS, 1), cap, theta), strings, strings, limit)
 
 
 def histogram(pairs: DataFrame, limit: int) -> DataFrame:
@@ -103,8 +103,8 @@ def counts_of(hist: DataFrame) -> list[int]:
     return [row["pairs"] for row in hist.orderBy("d").collect()]
 
 
-def auto_tau(strings: DataFrame, margin: float = 0.25, theta: int = THETA_MERGE) -> tuple[Ceiling, int]:
+def auto_tau(strings: DataFrame, margin: float = 0.25, theta: int = THETA_MERGE, cap: int | None = BUCKET_CAP) -> tuple[Ceiling, int]:
     """The ceiling and threshold of the filtered histogram; 0 where there are fewer than two strings or no pair."""
     limit = distance_limit(strings)
-    found = ceiling_below_peak(counts_of(histogram(filtered_pairs(strings, limit, theta), limit)))
+    found = ceiling_below_peak(counts_of(histogram(filtered_pairs(strings, limit, theta, cap), limit)))
     return found, safe_tau(found.ceiling, margin, exact=False) if found.kind else 0

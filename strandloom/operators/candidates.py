@@ -1,7 +1,7 @@
 """Candidate pairs from shared keys, and the chain of filters that makes edges of them.
 
 Defined results: pairs join different reads only and are ordered a < b; a bucket counts its keys, repeats of one read too,
-and takes part with 2 to ``cap`` of them; an empty table gives no rows.
+and takes part with 2 to ``cap`` of them, or any number from 2 where ``cap`` is None; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ THETA_CORE, THETA_MERGE = 60, 96
 SLICE = 256
 
 
-def capped(keys: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
+def capped(keys: DataFrame, cap: int | None = BUCKET_CAP) -> DataFrame:
     """The keys of buckets with 2 to ``cap`` of them. Sizes are counted partly before the shuffle, so that an oversized
     bucket, which takes no part, is never gathered in one task."""
-    sizes = keys.groupBy("it", "key").agg(F.count("*").alias("m")).where(F.col("m").between(2, cap)).select("it", "key", F.ceil(F.col("m") / SLICE).cast("int").alias("slices"))
+    sizes = keys.groupBy("it", "key").agg(F.count("*").alias("m")).where((F.col("m") >= 2) if cap is None else F.col("m").between(2, cap)).select("it", "key", F.ceil(F.col("m") / SLICE).cast("int").alias("slices"))
     return keys.join(sizes, ["it", "key"])
 
 
@@ -34,7 +34,7 @@ def _side(kept: DataFrame, idx: str, prefix: str, sliced: bool) -> DataFrame:
     return kept.select("it", "key", F.col("idx").alias(idx), *words, part.alias("part"))
 
 
-def bucket_pairs(keys: DataFrame, cap: int = BUCKET_CAP, theta: int | None = None) -> DataFrame:
+def bucket_pairs(keys: DataFrame, cap: int | None = BUCKET_CAP, theta: int | None = None) -> DataFrame:
     """(a, b) of every two keys in a bucket, of different owners; a pair may come several times.
 
     With ``theta`` the keys carry their owner's signature, and pairs that differ in more bits end inside the join.
@@ -44,7 +44,7 @@ def bucket_pairs(keys: DataFrame, cap: int = BUCKET_CAP, theta: int | None = Non
     return (met if theta is None else met.where(hamming() <= theta)).select("a", "b")
 
 
-def sided_pairs(left: DataFrame, right: DataFrame, cap: int = BUCKET_CAP, theta: int | None = None) -> DataFrame:
+def sided_pairs(left: DataFrame, right: DataFrame, cap: int | None = BUCKET_CAP, theta: int | None = None) -> DataFrame:
     """(a, b) with a from ``left`` and b from ``right``; a bucket's size counts the keys of both sides."""
     kept = capped(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))), cap)
     met = _side(kept.where("side = 0"), "a", "x", True).join(_side(kept.where("side = 1"), "b", "y", False), ["it", "key", "part"])
@@ -69,9 +69,9 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, tau: int) -> D
     return near.select("a", "b", F.levenshtein("x", "y", tau).alias("d")).where("d >= 0")
 
 
-def core_edges(reads: DataFrame, tau: int = 8, rounds: int = CORE_ROUNDS, theta: int = THETA_CORE, occurrences: int = 4) -> DataFrame:
+def core_edges(reads: DataFrame, tau: int = 8, rounds: int = CORE_ROUNDS, theta: int = THETA_CORE, occurrences: int = 4, cap: int | None = BUCKET_CAP) -> DataFrame:
     """(a, b, d): pairs of reads that share an anchor key, pass the signature and lie within ``tau`` edits."""
-    return verified(bucket_pairs(signed_keys(reads, rounds, occurrences), theta=theta), reads, reads, tau)
+    return verified(bucket_pairs(signed_keys(reads, rounds, occurrences), cap, theta), reads, reads, tau)
 
 
 def work_counters(reads: DataFrame, tau: int = 8, rounds: int = CORE_ROUNDS, theta: int = THETA_CORE, occurrences: int = 4) -> DataFrame:

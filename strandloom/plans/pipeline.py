@@ -17,7 +17,8 @@ log = logging.getLogger(__name__)
 
 @dataclass
 class Options:
-    """Thresholds and modes; ``validate`` raises ValueError for values outside their domain."""
+    """Thresholds and modes; ``validate`` raises ValueError for values outside their domain. ``bucket_cap`` is the reference's
+    limit to the keys of a bucket; with None no bucket is dropped, so that no result depends on the size of the input."""
 
     tau_core: int = 8
     tau_abs: int = 16
@@ -26,6 +27,7 @@ class Options:
     margin: float = 0.25
     anchor_occ: int = 4
     exact_max: int = 50_000
+    bucket_cap: int | None = candidates.BUCKET_CAP
     audit_sample: int = 0
     auto_tau: bool = False
     approx: bool = False
@@ -53,7 +55,7 @@ class Clustering:
 def core_stage(unique: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     """Indexed reads and their first labels (idx, label)."""
     reads = cut_lineage(index_reads(unique))
-    edges = candidates.core_edges(reads, options.tau_core, occurrences=1 if options.approx else options.anchor_occ)
+    edges = candidates.core_edges(reads, options.tau_core, occurrences=1 if options.approx else options.anchor_occ, cap=options.bucket_cap)
     return reads, cut_lineage(components.labels(reads, edges))
 
 
@@ -97,12 +99,12 @@ def cluster(unique: DataFrame, options: Options | None = None) -> Clustering:
     else:
         occurrences = 1 if options.approx else options.anchor_occ
         if options.auto_tau and count:
-            found, tau = calibrate.auto_tau(strings, options.margin, options.sig_abs)
+            found, tau = calibrate.auto_tau(strings, options.margin, options.sig_abs, options.bucket_cap)
             if tau > 0:
                 tau_abs = tau_cons = tau
             result.metrics |= {"ceiling": found.ceiling, "kind": found.kind}
-        merged = cut_lineage(absorb.merge_components(strings, calibrate.filtered_pairs(strings, tau_cons, options.sig_abs), tau_cons))
-        taken = absorb.absorb_filtered(rest, strings, tau_abs, options.sig_abs, occurrences)
+        merged = cut_lineage(absorb.merge_components(strings, calibrate.filtered_pairs(strings, tau_cons, options.sig_abs, options.bucket_cap), tau_cons))
+        taken = absorb.absorb_filtered(rest, strings, tau_abs, options.sig_abs, occurrences, options.bucket_cap)
         result.metrics["mode"] = "filtered"
     result.labels = cut_lineage(absorb.assemble(reads, members, merged, taken))
     result.metrics |= {"tau_abs": tau_abs, "tau_cons": tau_cons}

@@ -160,3 +160,12 @@ def test_stream(spark, tmp_path):
     rows = sorted((r.read, r.cnt) for r in spark.table("arrived").collect())
     query.stop()
     assert rows == [("ACGT", 7), ("TT", 1)]
+
+
+def test_oversized_buckets_without_a_cap(spark):
+    size = candidates.BUCKET_CAP + 4
+    keys = spark.range(size).selectExpr("id as idx", "0 as it", "7L as key")
+    assert candidates.bucket_pairs(keys).count() == 0 and candidates.bucket_pairs(keys, cap=None).count() == size * (size - 1) // 2
+    reads = spark.createDataFrame([(f"{'ACGTTGCAAGCT' * 7}{a}{b}{c}", 86 + 1, 1) for a in "ACGT" for b in "ACGT" for c in "ACGT"], "read string, len int, cnt long")
+    cores = [pipeline.core_stage(reads, pipeline.Options(bucket_cap=cap))[1].select("label").distinct().count() for cap in (3, None)]
+    assert cores == [64, 1]
