@@ -32,7 +32,7 @@ def closest_apart(merged: DataFrame, edges: DataFrame, keep: int) -> DataFrame:
 def near_strings(rest: DataFrame, strings: DataFrame, tau: int) -> DataFrame:
     """(a, b, d): every string b within ``tau`` edits of a left-over read a, exactly.
 
-    The strings are a stated set bounded by ``exact_max`` and taken in blocks. The left-over reads are cut into as many
+    The strings are taken in blocks; the pipeline bounds them by ``exact_max``, single queries do not. The left-over reads are cut into as many
     blocks as they need; two blocks meet in one group of bounded size, where grams they cannot lack within ``tau`` edits
     spare most distances.
     """

@@ -41,7 +41,7 @@ def distance_limit(strings: DataFrame, fraction: float = 0.5) -> int:
 def all_pairs(strings: DataFrame, limit: int, keep: int | None = None) -> DataFrame:
     """(a, b, d, n): every pair within ``keep`` edits, and beyond it up to ``limit`` only how many there are (a, b null).
 
-    The number of strings is bounded by the caller (``exact_max``). They are put into blocks, and every two blocks meet in
+    The work grows with the square of the strings; the pipeline bounds them by ``exact_max``, single queries do not. They are put into blocks, and every two blocks meet in
     one group of bounded size, so the pairs spread evenly over tasks and no side is broadcast.
     """
     keep = limit if keep is None else keep
