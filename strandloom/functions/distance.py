@@ -140,6 +140,65 @@ def distances(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+#: Cells of the table that one step of ``distances_within`` looks places up in.
+CELLS = 4_000_000
+
+
+def distances_within(left: list[str], right: list[str], cutoff: int) -> np.ndarray:
+    """The distance of each pair, cutoff + 1 where it is larger. On each diagonal near the main one, ``e`` edits reach as
+    far as ``e`` - 1 edits and one more on it or beside it, and then along equal symbols; all pairs of a step go side by side."""
+    m, n = (np.fromiter(map(len, side), np.int64, len(side)) for side in (left, right))
+    out = np.full(len(left), cutoff + 1, np.int64)
+    todo = np.flatnonzero(np.abs(m - n) <= cutoff)
+    todo, at = todo[np.argsort(n[todo], kind="stable")], 0
+    while at < len(todo):
+        step = max(1, CELLS // ((2 * cutoff + 1) * (int(n[todo[min(at + 1023, len(todo) - 1)]]) + 1)))
+        some = todo[at : at + min(step, 1024)]
+        out[some] = _reach([left[k] for k in some], [right[k] for k in some], m[some], n[some], cutoff)
+        at += len(some)
+    return out
+
+
+def _rows(texts: list[str], lengths: np.ndarray, before: int, width: int, pad: int) -> np.ndarray:
+    """(place, text): symbols plus 2, ``pad`` outside."""
+    codes = _codes(texts) + np.uint32(2)
+    grid = np.full((len(texts), width), pad, np.uint8 if not len(codes) or codes.max() < 256 else np.uint32)
+    place = np.arange(width) - before
+    grid[(place >= 0) & (place < lengths[:, None])] = codes
+    return np.ascontiguousarray(grid.T)
+
+
+def _reach(left: list[str], right: list[str], m: np.ndarray, n: np.ndarray, cutoff: int) -> np.ndarray:
+    count, width, wide = len(left), int(n.max(initial=0)), 2 * cutoff + 1
+    x, y = _rows(left, m, cutoff, max(width + 2 * cutoff, int(m.max(initial=0)) + cutoff), 0), _rows(right, n, 0, width, 1)
+    kind = np.int16 if width < 2**15 else np.int32
+    stop = np.empty((width + 1, wide, count), kind)  # the next place at which a diagonal's symbols differ
+    stop[width] = width
+    here, far = np.empty((wide, count), kind), kind(np.iinfo(kind).max)
+    for j in range(width - 1, -1, -1):
+        np.multiply(x[j : j + wide] == y[j], far, out=here)
+        np.minimum(np.maximum(here, kind(j), out=here), stop[j + 1], out=stop[j])
+    flat, lane = stop.ravel(), np.arange(wide * count).reshape(wide, count)
+    diagonal = np.arange(-cutoff, cutoff + 1)[:, None]
+    limit = np.minimum(n, m - diagonal)
+    goal, lanes, none = m - n + cutoff, np.arange(count), -(2**30)
+    reach = np.full((wide + 2, count), none, np.int64)  # a row more on either side
+    d = np.full(count, cutoff + 1, np.int64)
+    for e in range(cutoff + 1):
+        if e == 0:
+            moved = np.full((wide, count), none, np.int64)
+            moved[cutoff] = 0
+        else:
+            moved = np.maximum(np.maximum(reach[1:-1] + 1, reach[2:] + 1), reach[:-2])
+        moved = np.minimum(moved, limit)
+        good = moved >= np.maximum(0, -diagonal)
+        reach[1:-1] = np.where(good, flat[np.where(good, moved, 0) * (wide * count) + lane].astype(np.int64), none)
+        d[(d > cutoff) & (reach[goal + 1, lanes] >= n)] = e
+        if (d <= cutoff).all():
+            break
+    return d
+
+
 @pandas_udf(T.IntegerType())
 def exact_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance without a cutoff, a batch of pairs at a time; null where a side is null."""

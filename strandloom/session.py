@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -19,6 +20,7 @@ def local_session(cores: int = 8, app: str = "strandloom") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -36,10 +38,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; a local one only where none is named (tests)."""
+    """Use the shared folder named in spark.checkpoint.dir; a local one only where none is named and all runs on one machine.
+
+    Checkpoints that are no longer needed are removed where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandloom-checkpoint-"))
 
 
@@ -49,6 +56,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def partitions_for(spark: SparkSession) -> int:
-    """The number of partitions the session is set to shuffle into."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def partitions_for(spark: SparkSession, df: DataFrame | None = None, each: int = 32 << 20) -> int:
+    """The number of partitions the session is set to shuffle into or, where that is more, as many as give each ``each``
+    bytes of ``df``, whose size is the one Spark plans with."""
+    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    if df is not None:
+        planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if planned < 1 << 62:  # an unknown size is given as the largest number
+            count = max(count, -(-planned // each))
+    return count
