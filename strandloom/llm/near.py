@@ -1,15 +1,18 @@
 """Pairs of texts that differ by a few small edits, by PartEnum signatures.
 
-A text is the set of its ``q``-grams. The domain of grams is partitioned by a hash, and a text is projected onto each
-partition; texts a few edits apart leave most partitions untouched, so they share the signatures of those. The number of
-partitions follows the band of sizes a text falls into, near an edge it takes part in both bands, and independent
-partitionings are drawn until a text has ``ENOUGH`` signatures. A signature must hold two grams or more that reach over ``MIN_SPAN`` further places, so that
-it is specific. Grams in more than ``hot_share`` of all texts (counted over all of them) name no text and are left out,
-unless that would leave less than half of a text. Signatures travel to their buckets as packed arrays; a bucket is sorted
-once and gives its pairs; a signature counted as large is cut into slices that meet two by two over tasks; each pair is then verified by exact edit distance.
-
-A pair is lost only if all its shared partitions fail these rules; README gives the share by length and hot part. Texts
-under ``SHORT`` characters are too short for signatures; a join on their pieces finds all their pairs.
+A text is the set of its ``q``-grams. The domain of grams is partitioned by a hash into groups, and each group into
+``SUBSETS`` parts; a signature is the projection of a text onto all parts of a group but one. ``d`` edits change at most
+``2 q d`` grams, so most groups are hit by at most one change, and leaving out the part it falls into gives both texts the
+same signature. The number of groups follows the band of sizes a text falls into, near an edge it takes part in both bands,
+and independent partitionings are drawn until a text has ``ENOUGH`` signatures. A signature must hold two grams or more that
+reach over ``MIN_SPAN`` further places, so that it is specific; this is what may lose a pair, and README gives the share by
+length and hot part. Of long texts, which fill far more groups than needed, signatures are taken by their hash.
+
+Grams in more than ``hot_share`` of all texts (counted over all of them, in bins that grow with the length of the texts)
+name no text and are left out, unless that would leave less than half of a text. Signatures travel to their buckets as
+packed arrays; a bucket is sorted once and gives its pairs; a signature counted as large is cut into slices that meet two by
+two over tasks; each pair is then verified by exact edit distance. Texts under ``SHORT`` characters are too short for
+signatures; a join on their pieces finds all their pairs. Buckets and partitions are as many as the texts call for.
 
 Defined results: a null text takes no part; equal texts are one class, whose id is the smallest (``text_classes`` gives the
 members), and pairs are given between classes; case matters; the empty text is a short text; an empty table gives no rows;
@@ -25,15 +28,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import partitions_for
-
-BINS_BITS = 18
-#: Signatures a text draws for, more of them if a third of its grams is hot, and the draws it may take: edits that gather in
-#: the cold part of a text leave few of its signatures, and few partitions fill there in a draw.
-ENOUGH, ENOUGH_HOT, MOST_DRAWS = 100, 300, 32
+from strandloom.functions.distance import distances_within
+from strandloom.llm.hashing import from_planes, mix, pack_texts, planes, unpack_texts
+from strandloom.session import cut_lineage, partitions_for
+
+#: Bins that grams are counted in, as a power of two, for texts of about 100 characters; longer ones get more, up to the second.
+BINS_BITS, MOST_BITS = 18, 22
+#: A bin is hot only above this many times the load of an average bin, however long the texts are.
+OVER_AVERAGE = 4
+#: Signatures a text draws for, and the draws it may take: edits that gather in the cold part of a text leave few of its
+#: signatures, and few groups fill there in a draw.
+ENOUGH, MOST_DRAWS = 45, 32
+#: Parts of a group; a signature leaves out one.
+SUBSETS = 3
+#: Groups for a character of a band: the more there are, the fewer grams a signature holds, and the likelier it survives.
+GROUPS = 2
+#: Signatures a group gives in a draw, for random texts: a measured figure.
+FILLED = 0.13
 MIN_SPAN = 8
+#: Characters worked on at a time, so that the arrays of a step stay in the processor's cache.
+PIECE_CHARS = 100_000
 SHORT = 96
-ENTRIES_PER_BUCKET = 2_000_000
+ENTRIES_PER_BUCKET = 300_000
+#: Bytes of input, as Spark plans it, for one partition of the texts.
+TEXT_BYTES = 4 << 20
 _MULTIPLIER = np.uint64(1099511628211)
 #: Entries of a slice: a signature of more than two slices is cut, and its slices meet two by two, each two in a group.
 SLICE = 2048
@@ -42,18 +60,13 @@ COUNTED, SAMPLED, MOST_LARGE = 20_000, 64, 200_000
 #: Entries a batch repeats for slices before it sends them.
 REPEATED = 2_000_000
 _SIGNATURE = "bucket long, sigs binary, ids binary"
-#: Bits of a packed signature that hold where it begins, in steps of two places, modulo 128.
-PLACE_BITS = 6
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+#: Bits of a packed signature that hold where it begins, in steps of two places modulo 128, and how far it reaches, in steps
+#: of four modulo 128; what lies farther apart than the edits can move it is no pair of this signature.
+PLACE_BITS, SPAN_BITS = 6, 5
 
 
 def bands(length: int, slack: int) -> set[int]:
-    """Lower edges of the size bands a text belongs to; the edge is also the band's number of partitions."""
+    """Lower edges of the size bands a text belongs to; the edge is also the band's number of groups."""
     edges = set()
     for size in (length, length + slack):
         edge = SHORT
@@ -74,65 +87,78 @@ def grams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     owner = np.repeat(np.arange(len(texts)), lengths)[:width]
     place = np.arange(width) - (np.cumsum(lengths) - lengths)[owner]
     whole = place <= lengths[owner] - q
-    return _mix(hashed[whole]), owner[whole], place[whole]
-
-
-def _signatures(hashed: np.ndarray, owner: np.ndarray, place: np.ndarray, parts: np.ndarray, enough: np.ndarray, mode: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, text, first place) of each partition that a text fills well enough; ``parts`` by text. A text takes part in
-    draws until it has ``enough`` signatures; near texts stop at about the same draw, and share those of the fewer draws."""
-    count, seen = np.zeros(len(parts), np.int64), np.arange(len(parts))
-    sigs, texts, firsts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    return mix(hashed[whole]), owner[whole], place[whole]
+
+
+def _projections(hashed: np.ndarray, owner: np.ndarray, place: np.ndarray, groups: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, text, place code) of one partitioning: each group without one of its parts, where the rest is specific.
+    What two subsets of a group have in common when a part is empty is given once."""
+    base = np.cumsum(groups) - groups
+    x = mix(hashed ^ np.uint64((salt + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    cell = base[owner] * SUBSETS + (x % (groups[owner] * SUBSETS).astype(np.uint64)).astype(np.int64)
+    order = np.sort((cell << 32) | np.arange(len(cell)))  # by cell, places ascending
+    cell, at = order >> 32, order & 0xFFFFFFFF
+    begin = np.flatnonzero(np.diff(cell, prepend=-1))
+    end = np.r_[begin[1:], len(cell)]
+    sums = np.add.reduceat(mix(x[at]), begin) if len(begin) else np.empty(0, np.uint64)
+    first, last, group = place[at[begin]], place[at[end - 1]], cell[begin] // SUBSETS
+    filled = np.bincount(group)[group] if len(group) else group
+    single = np.flatnonzero((end - begin >= 2) & (filled < SUBSETS))
+    pairs = [(k, k + step) for step in range(1, SUBSETS) if len(k := np.flatnonzero(group[step:] == group[:-step]))]
+    one, two = (np.concatenate([single, *(p[i] for p in pairs)]) for i in (0, 1))
+    low, high = np.minimum(first[one], first[two]), np.maximum(last[one], last[two])
+    wide = high - low >= MIN_SPAN
+    one, two, low, high = one[wide], two[wide], low[wide], high[wide]
+    text = np.searchsorted(base, group[one], "right") - 1
+    label = mix((group[one] - base[text]).astype(np.uint64) | (groups[text].astype(np.uint64) << np.uint64(24)) | np.uint64(salt << 52))
+    return mix((sums[one] + np.where(one == two, np.uint64(0), sums[two])) ^ label), text, ((low >> 1) % (1 << PLACE_BITS) << SPAN_BITS | ((high - low) >> 2) % (1 << SPAN_BITS)).astype(np.int32)
+
+
+def _signatures(hashed: np.ndarray, owner: np.ndarray, place: np.ndarray, groups: np.ndarray, mode: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, text, place code); ``groups`` by text. A text takes part in partitionings until it has ``ENOUGH``
+    signatures; near texts stop at about the same one, and share those of the fewer partitionings."""
+    count, seen = np.zeros(len(groups), np.int64), np.arange(len(groups))
+    sigs, texts, codes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
     for draw in range(MOST_DRAWS):
-        left = count[seen] < enough[seen]
+        left = count[seen] < ENOUGH
         if draw and not left.all():
             mine, number = left[owner], np.cumsum(left) - 1
             hashed, owner, place = hashed[mine], number[owner[mine]], place[mine]
-            seen, parts = seen[left], parts[left]
+            seen, groups = seen[left], groups[left]
         if not len(owner):
             break
-        base, total = np.cumsum(parts) - parts, int(parts.sum())
-        x = _mix(hashed ^ np.uint64((draw * 2 + mode + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        part = (x % parts[owner].astype(np.uint64)).astype(np.int64)
-        cell = base[owner] + part
-        sums = np.zeros(total, np.uint64)
-        np.add.at(sums, cell, _mix(x))
-        first, last = np.zeros(total, np.int32), np.zeros(total, np.int32)
-        last[cell] = place
-        first[cell[::-1]] = place[::-1]
-        good = np.flatnonzero((np.bincount(cell, minlength=total) >= 2) & (last - first >= MIN_SPAN))
-        text = np.searchsorted(base, good, "right") - 1
-        label = (good - base[text]).astype(np.uint64) | (parts[text].astype(np.uint64) << np.uint64(24)) | np.uint64((draw * 2 + mode) << 52)
-        sigs.append(_mix(sums[good] ^ _mix(label)))
+        sig, text, code = _projections(hashed, owner, place, groups, draw * 2 + mode)
+        rate = np.minimum(1.0, 2 * ENOUGH / (FILLED * groups))[text]
+        if (rate < 1).any():
+            kept = (mix(sig ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
+            sig, text, code = sig[kept], text[kept], code[kept]
+        sigs.append(sig)
         texts.append(seen[text])
-        firsts.append(first[good])
+        codes.append(code)
         count[seen] += np.bincount(text, minlength=len(seen))
-    return np.concatenate(sigs), np.concatenate(texts), np.concatenate(firsts)
+    return np.concatenate(sigs), np.concatenate(texts), np.concatenate(codes)
 
 
 def part_enum(texts: list[str], hot: np.ndarray, q: int, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, index of the text, first place) of all signatures of some texts."""
-    chosen = [(i, n) for i, t in enumerate(texts) if len(t) >= SHORT for n in bands(len(t), slack)]
-    index, parts = np.array([i for i, _ in chosen], np.int64), np.array([n for _, n in chosen], np.int64)
+    """(signature, index of the text, place code) of all signatures of some texts; ``hot`` says which gram bins are."""
+    pieces = np.searchsorted(np.cumsum([0, *map(len, texts)]), np.arange(0, sum(map(len, texts)) + 1, PIECE_CHARS)).tolist()
+    pieces = sorted({*pieces, len(texts)} - {0})
+    parts = [_part_enum(texts, begin, end, hot, q, slack) for begin, end in zip([0, *pieces], pieces)]
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32))
+
+
+def _part_enum(texts: list[str], begin: int, end: int, hot: np.ndarray, q: int, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    chosen = [(i, n) for i in range(begin, end) if len(texts[i]) >= SHORT for n in bands(len(texts[i]), slack)]
+    index, groups = np.array([i for i, _ in chosen], np.int64), np.array([GROUPS * n for _, n in chosen], np.int64)
     hashed, owner, place = grams([texts[i] for i in index], q)
-    cold = ~hot[(hashed >> np.uint64(64 - BINS_BITS)).astype(np.int64)]
-    named, whole = np.bincount(owner[cold], minlength=len(parts)), np.bincount(owner, minlength=len(parts))
-    sigs, text, first = _signatures(hashed[cold], owner[cold], place[cold], parts, np.where(3 * named < 2 * whole, ENOUGH_HOT, ENOUGH), 0)
-    few = 2 * named < whole
+    cold = ~hot[(hashed >> np.uint64(65 - len(hot).bit_length())).astype(np.int64)]
+    sigs, text, codes = _signatures(hashed[cold], owner[cold], place[cold], groups, 0)
+    few = 2 * np.bincount(owner[cold], minlength=len(groups)) < np.bincount(owner, minlength=len(groups))
     if few.any():
         own = few[owner]
-        more = _signatures(hashed[own], owner[own], place[own], parts, np.full(len(parts), ENOUGH), 1)
-        sigs, text, first = (np.concatenate(pair) for pair in zip((sigs, text, first), more))
-    return sigs, index[text], first
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Byte planes, so that what is alike stands together for the shuffle's compression."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
-
-
-def _unpack(blobs: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
-    width = np.dtype(kind).itemsize
-    return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel() for b in blobs.to_pylist()]
+        more = _signatures(hashed[own], owner[own], place[own], groups, 1)
+        sigs, text, codes = (np.concatenate(pair) for pair in zip((sigs, text, codes), more))
+    return sigs, index[text], codes
 
 
 def text_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -141,20 +167,38 @@ def text_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(rows.groupBy("text").agg(F.min("id").alias("class_id")), "text").select("id", "class_id").distinct()
 
 
-def hot_bins(texts: DataFrame, q: int, least: float) -> np.ndarray:
-    """Which of the 2^18 gram bins more than ``least`` of all grams fall into; at most as many as bins reach the driver."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pack_texts(batch.column(1)), batch.column(2)], ["id", "text", "n"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), unpack_texts(batch.column(1))], ["id", "text"])
+
+
+def bins_for(length: float) -> int:
+    """The number of gram bins, as a power of two, for texts of this mean length."""
+    return int(min(MOST_BITS, BINS_BITS + max(0, np.ceil(np.log2(max(length, 1) / 128)))))
+
+
+def hot_bins(texts: DataFrame, q: int, least: float, bits: int, known: int) -> np.ndarray:
+    """Which of the 2^bits gram bins ``least`` grams or more fall into; at most as many as bins reach the driver. A task
+    reports the bins that hold a quarter or more of its texts' share of ``least``; bins found with three quarters of it are
+    hot, so none with all of it is missed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BINS_BITS, np.int64)
+        counts, seen = np.zeros(1 << bits, np.int64), 0
         for batch in batches:
-            hashed, _, _ = grams([t for t in batch.column(0).to_pylist() if len(t) >= q], q)
-            counts += np.bincount((hashed >> np.uint64(64 - BINS_BITS)).astype(np.int64), minlength=len(counts))
-        bins = np.flatnonzero(counts)
+            seen += len(batch)
+            hashed, _, _ = grams([t for t in unpack_texts(batch.column(0)).to_pylist() if len(t) >= q], q)
+            counts += np.bincount((hashed >> np.uint64(64 - bits)).astype(np.int64), minlength=len(counts))
+        bins = np.flatnonzero(counts > least / 4 * seen / max(known, 1))
         if len(bins):
             yield pa.RecordBatch.from_pydict({"bin": bins.astype(np.int32), "n": counts[bins]})
 
-    rows = texts.select("text").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("bin")
-    hot = np.zeros(1 << BINS_BITS, bool)
+    rows = texts.select("text").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).where(F.col("n") >= 0.75 * least).select("bin")
+    hot = np.zeros(1 << bits, bool)
     hot[[r[0] for r in rows.collect()]] = True
     return hot
 
@@ -178,7 +222,7 @@ class Slices:
 
     @staticmethod
     def number(ids: np.ndarray, slices: np.ndarray | int) -> np.ndarray:
-        return (_mix(ids.astype(np.int64).view(np.uint64)) % np.asarray(slices).astype(np.uint64)).astype(np.int64)
+        return (mix(ids.astype(np.int64).view(np.uint64)) % np.asarray(slices).astype(np.uint64)).astype(np.int64)
 
     def spread(self, at: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(entry, group) for each group of an entry's signature that its slice takes part in, some entries at a time."""
@@ -206,7 +250,7 @@ def large_signatures(texts: DataFrame, hot: np.ndarray, q: int, slack: int, buck
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, n = np.unique(part_enum(batch.column(0).to_pylist(), shared.value, q, slack)[0].view(np.int64), return_counts=True)
+            sigs, n = np.unique(part_enum(unpack_texts(batch.column(0)).to_pylist(), shared.value, q, slack)[0].view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_pydict({"sig": sigs, "n": n.astype(np.int64)})
 
     counts = texts.where(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0).select("text").mapInArrow(count, "sig long, n long").groupBy("sig").agg((F.sum("n") * rate).alias("n"))
@@ -217,28 +261,29 @@ def large_signatures(texts: DataFrame, hot: np.ndarray, q: int, slack: int, buck
 def _emit(texts: DataFrame, hot: np.ndarray, q: int, slack: int, buckets: int, large: Slices) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast((hot, large))
 
-    def pack(bucket: np.ndarray, sigs: np.ndarray, ids: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    low = np.uint64(PLACE_BITS + SPAN_BITS)
+
+    def pack(bucket: np.ndarray, sigs: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
         by = np.lexsort((ids, bucket))
-        place = ((first[by] >> 1) & ((1 << PLACE_BITS) - 1)).astype(np.uint64)
-        bucket, own, code = bucket[by], ids[by], ((sigs[by] >> np.uint64(32 + PLACE_BITS) << np.uint64(PLACE_BITS)) | place).astype(np.uint32)
+        bucket, own, code = bucket[by], ids[by], ((sigs[by] >> (np.uint64(32) + low) << low) | codes[by].astype(np.uint64)).astype(np.uint32)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-        rows = [(int(bucket[a]), _pack(code[a:b]), _pack(np.diff(own[a:b], prepend=0))) for a, b in zip(cuts[:-1], cuts[1:])]
+        rows = [(int(bucket[a]), planes(code[a:b]), planes(np.diff(own[a:b], prepend=0))) for a, b in zip(cuts[:-1], cuts[1:])]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "sigs", "ids"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, large = shared.value
         for batch in batches:
-            sigs, text, first = part_enum(batch.column(1).to_pylist(), hot, q, slack)
+            sigs, text, codes = part_enum(unpack_texts(batch.column(1)).to_pylist(), hot, q, slack)
             ids = batch.column(0).to_numpy()[text]
             at = large.find(sigs)
             small = at < 0
             if small.any():
-                yield pack((sigs[small] % np.uint64(buckets)).astype(np.int64), sigs[small], ids[small], first[small])
+                yield pack((sigs[small] % np.uint64(buckets)).astype(np.int64), sigs[small], ids[small], codes[small])
             if not small.all():
-                at, sigs, ids, first = at[~small], sigs[~small], ids[~small], first[~small]
+                at, sigs, ids, codes = at[~small], sigs[~small], ids[~small], codes[~small]
                 for entry, group in large.spread(at, ids):
                     if len(entry):
-                        yield pack(group, sigs[entry], ids[entry], first[entry])
+                        yield pack(group, sigs[entry], ids[entry], codes[entry])
 
     return texts.select("id", "text").mapInArrow(emit, _SIGNATURE)
 
@@ -247,17 +292,22 @@ def bucket_pairs(codes: np.ndarray, ids: np.ndarray, slack: int) -> tuple[np.nda
     """The different pairs of ids that share a signature at about the same place, in one bucket."""
     known, own = np.unique(ids, return_inverse=True)
     order = np.argsort(codes, kind="stable")
-    own, ring = own[order].astype(np.int64), 1 << PLACE_BITS
-    sigs, places = codes[order] >> np.uint32(PLACE_BITS), (codes[order] & np.uint32(ring - 1)).astype(np.int32)
+    own, codes = own[order].astype(np.int64), codes[order]
+    sigs = codes >> np.uint32(PLACE_BITS + SPAN_BITS)
+    places, spans = (codes >> np.uint32(SPAN_BITS) & np.uint32((1 << PLACE_BITS) - 1)).astype(np.int32), (codes & np.uint32((1 << SPAN_BITS) - 1)).astype(np.int32)
+
+    def near(x: np.ndarray, y: np.ndarray, ring: int, most: int) -> np.ndarray:
+        apart = (x - y) % ring
+        return np.minimum(apart, ring - apart) <= most
+
     new = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]]) if len(sigs) else np.empty(0, np.int64)
     ahead = np.repeat(np.r_[new[1:], len(sigs)], np.diff(np.r_[new, len(sigs)])) - np.arange(len(sigs)) - 1
     keys, step = [], 1
     at = np.flatnonzero(ahead >= 1)
     while len(at):  # each entry with the one ``step`` after it in its group
         other = at + step
-        apart = (places[at] - places[other]) % ring
-        near = np.minimum(apart, ring - apart) <= (slack + 1) // 2
-        x, y = own[at[near]], own[other[near]]
+        alike = near(places[at], places[other], 1 << PLACE_BITS, (slack + 1) // 2) & near(spans[at], spans[other], 1 << SPAN_BITS, (slack + 3) // 4)
+        x, y = own[at[alike]], own[other[alike]]
         x, y = np.minimum(x, y), np.maximum(x, y)
         keys.append(((x << 32) | y)[x != y])
         step += 1
@@ -273,38 +323,51 @@ def candidate_pairs(texts: DataFrame, hot: np.ndarray, q: int, slack: int, bucke
     shared = texts.sparkSession.sparkContext.broadcast(large)
 
     def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        ids = [np.cumsum(d) for d in _unpack(group["ids"], np.int64)]
-        a, b = bucket_pairs(np.concatenate(_unpack(group["sigs"], np.uint32)), np.concatenate(ids), slack)
+        ids = [np.cumsum(d) for d in from_planes(group["ids"], 8)]
+        a, b = bucket_pairs(np.concatenate(from_planes(group["sigs"], 4, np.uint32)), np.concatenate(ids), slack)
         own = shared.value.first_met(key[0].as_py(), a, b)
         return pa.table({"a": a[own], "b": b[own]})
 
-    return _emit(texts, hot, q, slack, buckets, large).groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return _emit(texts, hot, q, slack, buckets, large).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, edits: int = 8, q: int = 8, hot_share: float = 0.01, hot_least: int = 50, size: int = SLICE) -> DataFrame:
-    """(a, b, d) with a < b: classes of equal texts at an edit distance d of ``edits`` or less."""
+    """(a, b, d) with a < b: classes of equal texts at an edit distance d of ``edits`` or less. The pairs are written to the
+    checkpoint folder, so that nothing is kept in memory after the call."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    parts = partitions_for(df.sparkSession)
+    parts = partitions_for(df.sparkSession, rows, TEXT_BYTES)
+    packed = rows.select("id", "text", F.length("text").alias("n")).mapInArrow(_packed, "id long, text binary, n int")
     # kept by id: both joins below find the texts where they need them
-    texts = rows.groupBy("text").agg(F.min("id").alias("id")).repartition(parts, "id").persist()
-    known = texts.agg(F.count("*"), F.count_if(F.length("text") < SHORT), F.coalesce(F.avg(F.length("text")), F.lit(0.0))).first()
-    hot = hot_bins(texts, q, max(hot_share * known[0], hot_least))
-    buckets = max(parts, int(known[0] * (known[2] * 0.22 + ENOUGH) / ENTRIES_PER_BUCKET))
-    large = large_signatures(texts, hot, q, edits, buckets, known[0], size)
+    texts = packed.groupBy("text").agg(F.min("id").alias("id"), F.min("n").alias("n")).repartition(parts, "id").persist()
+    known, short, length = texts.agg(F.count("*"), F.count_if(F.col("n") < SHORT), F.coalesce(F.avg("n"), F.lit(0.0))).first()
+    bits = bins_for(length)
+    hot = hot_bins(texts, q, max(hot_share * known, hot_least, OVER_AVERAGE * known * length / 2**bits), bits, known)
+    buckets = max(parts, int(known * ENOUGH * 1.2 / ENTRIES_PER_BUCKET))
+    large = large_signatures(texts, hot, q, edits, buckets, known, size)
     pairs = candidate_pairs(texts, hot, q, edits, buckets, large).repartition(parts, "a").dropDuplicates(["a", "b"])
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    distance = F.levenshtein("x", "y", edits)
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", distance.alias("d")).where("d >= 0")
-    if known[1]:
-        found = found.unionByName(_short_pairs(texts, edits))  # signatures are of longer texts only, so no pair comes twice
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = distances_within(unpack_texts(batch.column(2)).to_pylist(), unpack_texts(batch.column(3)).to_pylist(), edits)
+            close = pa.array(d <= edits)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(close), batch.column(1).filter(close), pa.array(d, pa.int32()).filter(close)], ["a", "b", "d"])
+
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, d int")
+    if short:
+        near = texts.where(F.col("n") < SHORT + edits).select("id", "text").mapInArrow(_unpacked, "id long, text string")
+        found = found.unionByName(_short_pairs(near, edits))  # signatures are of longer texts only, so no pair comes twice
+    found = cut_lineage(found)
+    texts.unpersist()
     return found
 
 
-def _short_pairs(texts: DataFrame, edits: int) -> DataFrame:
-    """Pairs with a text too short for signatures, without loss. The shorter text of a pair is cut into ``edits`` + 1 even
+def _short_pairs(near: DataFrame, edits: int) -> DataFrame:
+    """Pairs with a text too short for signatures, without loss; ``near`` holds those texts and all that are at most ``edits``
+    longer. The shorter text of a pair is cut into ``edits`` + 1 even
     pieces; one of them stands unchanged in the other text, shifted by no more than the edits on either side of it allow.
     So pairs meet in an equi-join on length, piece and letters, and their distance is taken once."""
-    pieces, near = edits + 1, texts.where(F.length("text") < SHORT + edits)
+    pieces = edits + 1
     begin, size = f"int(i * l div {pieces})", f"int((i + 1) * l div {pieces} - i * l div {pieces})"
     number = F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i")
     shorter = near.where(F.length("text") < SHORT).select(F.col("id").alias("s"), "text", F.length("text").alias("l"), number)
