@@ -56,12 +56,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def partitions_for(spark: SparkSession, df: DataFrame | None = None, each: int = 32 << 20) -> int:
+#: Tasks of a step that sets their number by the size of its input; beyond it the partitions grow.
+MOST_PARTITIONS = 50_000
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The size of the tables ``df`` reads, as Spark plans with it; 0 where it is not known. No data is read for it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)  # an unknown size is given as the largest number
+
+
+def partitions_for(spark: SparkSession, df: DataFrame | None = None, each: int = 32 << 20, most: int = MOST_PARTITIONS) -> int:
     """The number of partitions the session is set to shuffle into or, where that is more, as many as give each ``each``
-    bytes of ``df``, whose size is the one Spark plans with."""
+    bytes of the tables that ``df`` reads, and at most ``most``."""
     count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    if df is not None:
-        planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if planned < 1 << 62:  # an unknown size is given as the largest number
-            count = max(count, -(-planned // each))
-    return count
+    return count if df is None else max(count, min(-(-planned_bytes(df) // each), most))
