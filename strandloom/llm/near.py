@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.distance import distances_within
 from strandloom.llm.hashing import from_planes, mix, pack_texts, planes, unpack_texts
-from strandloom.session import cut_lineage, partitions_for
+from strandloom.session import MOST_PARTITIONS, cut_lineage, partitions_for
 
 #: Bins that grams are counted in, as a power of two, for texts of about 100 characters; longer ones get more, up to the second.
 BINS_BITS, MOST_BITS = 18, 22
@@ -38,7 +38,7 @@ BINS_BITS, MOST_BITS = 18, 22
 OVER_AVERAGE = 4
 #: Signatures a text draws for, and the draws it may take: edits that gather in the cold part of a text leave few of its
 #: signatures, and few groups fill there in a draw.
-ENOUGH, MOST_DRAWS = 45, 32
+ENOUGH, MOST_DRAWS = 40, 32
 #: Parts of a group; a signature leaves out one.
 SUBSETS = 3
 #: Groups for a character of a band: the more there are, the fewer grams a signature holds, and the likelier it survives.
@@ -328,7 +328,7 @@ def candidate_pairs(texts: DataFrame, hot: np.ndarray, q: int, slack: int, bucke
         own = shared.value.first_met(key[0].as_py(), a, b)
         return pa.table({"a": a[own], "b": b[own]})
 
-    return _emit(texts, hot, q, slack, buckets, large).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return _emit(texts, hot, q, slack, buckets, large).repartition(min(buckets, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, edits: int = 8, q: int = 8, hot_share: float = 0.01, hot_least: int = 50, size: int = SLICE) -> DataFrame:

@@ -107,7 +107,16 @@ e AS (SELECT u, v FROM l WHERE u <> v UNION SELECT v, u FROM l WHERE u <> v),
 r(node, seen) AS (SELECT u, u FROM e UNION SELECT e.v, r.seen FROM r JOIN e ON e.u = r.node WHERE r.seen < e.v),
 g AS (SELECT node, min(seen) AS group_id FROM r GROUP BY node)"""
 
+_WINDOWS = """WITH w AS MATERIALIZED (SELECT doc_id, k, md5(substr(text, CAST(k AS INT) + 1, 300)) AS h FROM (SELECT doc_id, text, unnest(range(length(text) - 299)) AS k FROM documents)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))"""
+
 SQL = {
+    "p8_found": _WINDOWS + " SELECT DISTINCT doc_id FROM w JOIN s USING (h)",
+    "p8_coverage": _WINDOWS + """, m AS (SELECT DISTINCT doc_id, k FROM w JOIN s USING (h)),
+        n AS (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 300 THEN 0 ELSE 1 END AS fresh FROM m),
+        g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS part FROM n),
+        t AS (SELECT doc_id, max(k) - min(k) + 300 AS size FROM g GROUP BY doc_id, part)
+        SELECT doc_id, count(*) AS stretches, CAST(sum(size) AS BIGINT) AS covered, CAST(max(size) AS INT) AS longest FROM t GROUP BY doc_id""",
     "p3_found": _TOTALS + " SELECT read FROM t, n WHERE read IS NOT NULL AND total * 250 >= whole",
     "p3_totals": _TOTALS + " SELECT read, CAST(total AS BIGINT) AS total FROM t, n WHERE read IS NOT NULL AND total * 1000 >= whole",
     "p4_found": _GROUPS + " SELECT node, group_id FROM g",

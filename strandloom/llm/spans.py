@@ -4,15 +4,20 @@ Chunks are defined by content: a gear hash rolls over the text, and a cut falls
 window of ``WINDOW`` places. Equal stretches are therefore cut alike wherever they stand, after insertions too, and no gap
 between cuts exceeds the window. Each chunk is digested with the next ones, as many as any span of ``min_chars`` must hold,
 which finds the chunks that stand in several texts. The cuts a shared span is sure to hold depend on nothing outside it, so
-it lies close around a run of shared chunks; inside those stretches, and only there, the digest of every span of exactly ``min_chars`` is compared, which settles
-to the letter where shared spans begin and end.
+it lies close around a run of shared chunks.
 
-Both comparisons send packed digests to buckets. A digest that several texts of one batch hold goes there once, so a
-disclaimer that stands in a third of all texts costs no bucket more than one entry for each batch.
+Chunks tell which texts hold them and at which distance. Where one chunk after the other stands in the same texts at the same
+distances, all these texts share the whole run, and nothing in it needs comparing: any other text with a span of it would hold
+one of its chunks. Of all other spans of exactly ``min_chars`` near shared chunks the digests are compared, which settles to
+the letter where shared spans begin and end.
+
+Comparisons send packed digests to buckets, whose number grows with the texts. A digest that several texts of one batch hold
+goes there once, so a disclaimer that stands in a third of all texts costs no bucket more than one entry for each batch.
 
 Defined results: a null text or id holds nothing; rows with the same id are one text (a span within one id is not shared);
 equal texts share all they hold; texts shorter than ``min_chars`` share nothing; an empty table gives no rows; other columns
-are ignored; positions count characters. Digests have 48 bits within a bucket of about 2^20 entries.
+are ignored; positions count characters. Spans are equal where two digests of 64 and 32 bits are: among 10^10 spans, one
+false pair is expected in 10^9 runs.
 """
 
 from __future__ import annotations
@@ -24,24 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import partitions_for
+from strandloom.llm.hashing import from_planes, mix, planes, signed
+from strandloom.session import partitions_for, planned_bytes
 
 GEAR = 16
 WINDOW = 64
 SLICE = 1 << 18
-#: More buckets than shuffle partitions, so that each stays small.
-BUCKETS_PER_PARTITION = 8
-_ODD = 0x9E3779B97F4A7C15
-_ENTRIES = "bucket int, keys binary, docs binary, starts binary, sizes binary"
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-_LETTER = _mix(np.arange(1, 65537, dtype=np.uint64))
+#: Bytes of texts, as Spark plans them, whose digests make one bucket.
+BUCKET_BYTES = 4 << 20
+#: Digests of a task that go to their buckets together; the more they are, the better they pack.
+HELD = 1_000_000
+_ODD, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+_ENTRIES = "bucket long, keys binary, more binary, docs binary, starts binary, sizes binary"
+_LETTER = mix(np.arange(1, 65537, dtype=np.uint64))
 
 
 class Slice:
@@ -51,26 +51,25 @@ class Slice:
         self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.starts = np.cumsum(self.lengths) - self.lengths
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.letters = _LETTER[codes] if not len(codes) or codes.max() < 65536 else _mix(codes.astype(np.uint64) + np.uint64(1))
-        n = len(codes) + 1
-        power, inverse = np.full(n, _ODD, np.uint64), np.full(n, pow(_ODD, -1, 2**64), np.uint64)
-        power[0] = inverse[0] = 1
-        self.inverse = np.cumprod(inverse)
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(self.letters * np.cumprod(power)[:-1], out=self.sums[1:])
-
-    def digests(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[begin]) * self.inverse[begin] ^ (end - begin).astype(np.uint64) * np.uint64(_ODD))
-
-    def cuts(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """(text, place in the slice) of every cut."""
+        self.letters = _LETTER[codes] if not len(codes) or codes.max() < 65536 else mix(codes.astype(np.uint64) + np.uint64(1))
         gear = (self.letters >> np.uint64(32)).astype(np.uint32)
         step = 1
         while step < GEAR:
             gear[step:] += gear[:-step].copy() << np.uint32(step)
             step *= 2
-        n = len(gear)
-        least = (gear.astype(np.uint64) << np.uint64(32)) | (np.uint64(2**32 - 1) - np.arange(n, dtype=np.uint64))
+        self.gear = gear  # of the GEAR letters up to each place
+
+    def digests(self, begin: np.ndarray, end: np.ndarray, base: int = _ODD) -> np.ndarray:
+        n = len(self.letters) + 1
+        power, inverse, sums = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 2**64), np.uint64), np.zeros(n, np.uint64)
+        power[0] = inverse[0] = 1
+        np.cumsum(self.letters * np.cumprod(power)[:-1], out=sums[1:])
+        return mix((sums[end] - sums[begin]) * np.cumprod(inverse)[begin] ^ (end - begin).astype(np.uint64) * np.uint64(base))
+
+    def cuts(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place in the slice) of every cut."""
+        n = len(self.gear)
+        least = (self.gear.astype(np.uint64) << np.uint64(32)) | (np.uint64(2**32 - 1) - np.arange(n, dtype=np.uint64))
         width = 1
         while width < window and len(least):
             step = min(width, window - width)
@@ -96,56 +95,48 @@ def chunks_for(min_chars: int) -> int:
     return max(1, min(3, -(-(min_chars - GEAR - window + 2) // window) - 1))
 
 
-def _pack(values: np.ndarray, planes: int) -> bytes:
-    return np.ascontiguousarray(values.astype(np.int64, copy=False).view(np.uint8).reshape(len(values), 8)[:, :planes].T).tobytes()
-
-
-def _unpack(blobs: pa.ChunkedArray, planes: int) -> list[np.ndarray]:
-    out = []
-    for blob in blobs.to_pylist():
-        wide = np.zeros((len(blob) // planes, 8), np.uint8)
-        wide[:, :planes] = np.frombuffer(blob, np.uint8).reshape(planes, -1).T
-        out.append(wide.view(np.int64).ravel())
-    return out
-
-
-def packed_entries(keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The entries of one batch by bucket. Sizes carry a mark: 256 where other texts of the batch hold the key too, 512
-    where the entry needs no comparison because another one stands for it."""
+def packed_entries(keys: np.ndarray, more: np.ndarray, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The entries of one batch by bucket; ``more`` are further bits of the keys. Sizes carry a mark: 256 where other texts
+    of the batch hold the key too, 512 where the entry needs no comparison, because another one stands for it or because it
+    came with that mark."""
     order = np.lexsort((starts, docs, keys))
-    keys, docs, starts, sizes = keys[order], docs[order], starts[order], sizes[order]
-    first = np.r_[True, keys[1:] != keys[:-1]]
+    keys, more, docs, starts, sizes = keys[order], more[order], docs[order], starts[order], sizes[order]
+    first = np.r_[True, (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])]
     at = np.flatnonzero(first)
     several = np.repeat(docs[at] != docs[np.r_[at[1:], len(keys)] - 1], np.diff(np.r_[at, len(keys)]))
-    mark = np.where(several, np.where(first, 256, 512), 0)
-    bucket = np.where(mark == 512, _mix(docs.astype(np.uint64)), keys) % np.uint64(buckets)
+    mark = np.where(sizes >= 512, 0, np.where(several, np.where(first, 256, 512), 0))
+    bucket = (np.where(sizes + mark >= 512, mix(docs.view(np.uint64)), keys) % np.uint64(buckets)).astype(np.int64)
     by = np.lexsort((starts, docs, bucket))
-    bucket, keys, docs, starts, sizes = bucket[by].astype(np.int32), (keys[by] >> np.uint64(16)).astype(np.int64), docs[by], starts[by], (sizes + mark)[by]
+    bucket, keys, more, docs, starts, sizes = bucket[by], keys[by], more[by], docs[by], starts[by], (sizes + mark)[by]
+    keys[sizes >= 512] = more[sizes >= 512] = 0
     cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-    rows = [(int(bucket[a]), _pack(keys[a:b], 6), _pack(np.diff(docs[a:b], prepend=0), 8), _pack(np.diff(starts[a:b], prepend=0), 5), _pack(sizes[a:b], 2)) for a, b in zip(cut[:-1], cut[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "keys", "docs", "starts", "sizes"])
-
-
-def _signed(values: np.ndarray, planes: int) -> np.ndarray:
-    """Sign restored after cutting off the upper planes."""
-    shift = np.int64(64 - 8 * planes)
-    return (values << shift) >> shift
-
-
-def shared_entries(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, size) of the entries of one bucket whose key stands in more than one text."""
-    keys, sizes = np.concatenate(_unpack(group["keys"], 6)), np.concatenate(_unpack(group["sizes"], 2))
-    docs = np.concatenate([np.cumsum(d) for d in _unpack(group["docs"], 8)])
-    starts = np.concatenate([np.cumsum(_signed(d, 5)) for d in _unpack(group["starts"], 5)])
-    known = sizes >= 512
-    compare = np.flatnonzero(~known)
-    compare = compare[np.argsort(keys[compare], kind="stable")]
-    if len(compare):
-        sorted_keys, sorted_docs = keys[compare], docs[compare]
-        at = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
-        shared = (np.minimum.reduceat(sorted_docs, at) != np.maximum.reduceat(sorted_docs, at)) | (np.maximum.reduceat(sizes[compare], at) >= 256)
-        known[compare[np.repeat(shared, np.diff(np.r_[at, len(compare)]))]] = True
-    return docs[known], starts[known], sizes[known] & 255
+    rows = [(int(bucket[a]), planes(keys[a:b]), planes(more[a:b]), planes(np.diff(docs[a:b], prepend=0)), planes(np.diff(starts[a:b], prepend=0), 5), planes(sizes[a:b], 2)) for a, b in zip(cut[:-1], cut[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 5))], ["bucket", "keys", "more", "docs", "starts", "sizes"])
+
+
+def shared_entries(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, size, others) of the entries of one bucket whose key stands in more than one text. ``others`` says which
+    texts hold the key and how far from this entry: it is the same for two entries of one text only where both stand in the
+    same texts at the same distances. An entry whose texts are not all in sight, or twice in one text, has its own."""
+    keys, more, sizes = np.concatenate(from_planes(group["keys"], 8, np.uint64)), np.concatenate(from_planes(group["more"], 4, np.uint32)), np.concatenate(from_planes(group["sizes"], 2))
+    docs = np.concatenate([np.cumsum(d) for d in from_planes(group["docs"], 8)])
+    starts = np.concatenate([np.cumsum(signed(d, 5)) for d in from_planes(group["starts"], 5)])
+    known, weight = sizes >= 512, mix(docs.view(np.uint64))
+    others = mix(weight + starts.astype(np.uint64))
+    at = np.flatnonzero(~known)
+    at = at[np.lexsort((docs[at], more[at], keys[at]))]
+    if len(at):
+        begin = np.flatnonzero(np.r_[True, (keys[at][1:] != keys[at][:-1]) | (more[at][1:] != more[at][:-1])])
+        size = np.diff(np.r_[begin, len(at)])
+        own = docs[at]
+        several = (own[begin] != own[begin + size - 1]) | (np.maximum.reduceat(sizes[at], begin) >= 256)
+        twice = np.add.reduceat(np.r_[False, own[1:] == own[:-1]].astype(np.int64) * ~np.isin(np.arange(len(at)), begin), begin) > 0
+        plain = np.repeat(several & ~twice & (np.maximum.reduceat(sizes[at], begin) < 256), size)
+        place = starts[at].astype(np.uint64)
+        sums, moments = np.repeat(np.add.reduceat(weight[at], begin), size), np.repeat(np.add.reduceat(weight[at] * place, begin), size)
+        others[at[plain]] = (moments - place * sums)[plain]
+        known[at[np.repeat(several, size)]] = True
+    return docs[known], starts[known], sizes[known] & 255, others[known]
 
 
 def _slices(docs: np.ndarray, texts: list[str], least: int) -> Iterator[tuple[np.ndarray, Slice]]:
@@ -167,8 +158,8 @@ def _joined(parts: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.Re
         yield packed_entries(*(np.concatenate(column) for column in zip(*parts)), buckets)
 
 
-def shared_chunks(texts: DataFrame, min_chars: int, buckets: int) -> DataFrame:
-    """(doc, start, size): chunks in a row that stand in more than one text; ``texts`` is (doc, text)."""
+def shared_chunks(texts: DataFrame, min_chars: int, parts: int, buckets: int) -> DataFrame:
+    """(doc, start, size, others): chunks in a row that stand in more than one text; ``texts`` is (doc, text)."""
     window, row = window_for(min_chars), chunks_for(min_chars)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +169,15 @@ def shared_chunks(texts: DataFrame, min_chars: int, buckets: int) -> DataFrame:
                 text, cut = piece.cuts(window)
                 same = text[row:] == text[:-row]
                 begin, end, own = cut[:-row][same], cut[row:][same], text[:-row][same]
-                parts.append((piece.digests(begin, end), docs[own], begin - piece.starts[own], end - begin))
+                keys = piece.digests(begin, end) & np.uint64(2**48 - 1)  # found again below with all bits
+                parts.append((keys, np.zeros(len(keys), np.uint32), docs[own], begin - piece.starts[own], end - begin))
             yield from _joined(parts, buckets)
 
     def meet(group: pa.Table) -> pa.Table:
-        docs, starts, sizes = shared_entries(group)
-        return pa.table({"doc": docs, "start": pa.array(starts, pa.int32()), "size": pa.array(sizes, pa.int32())})
+        docs, starts, sizes, others = shared_entries(group)
+        return pa.table({"doc": docs, "start": pa.array(starts, pa.int32()), "size": pa.array(sizes, pa.int32()), "others": others.view(np.int64)})
 
-    return texts.mapInArrow(emit, _ENTRIES).groupBy("bucket").applyInArrow(meet, "doc long, start int, size int")
+    return texts.mapInArrow(emit, _ENTRIES).repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, "doc long, start int, size int, others long")
 
 
 def stretches(starts: np.ndarray, sizes: np.ndarray, length: int, min_chars: int) -> list[tuple[int, int]]:
@@ -206,52 +198,81 @@ def stretches(starts: np.ndarray, sizes: np.ndarray, length: int, min_chars: int
     return out
 
 
-def shared_windows(texts: DataFrame, min_chars: int, buckets: int) -> DataFrame:
-    """(doc, starts): where spans of exactly ``min_chars`` begin that stand in another text; several rows for one text."""
-    chunks = shared_chunks(texts, min_chars, buckets).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
-    placed = texts.join(chunks, "doc").select("doc", "text", "starts", "sizes")
+def settled(starts: np.ndarray, sizes: np.ndarray, others: np.ndarray, min_chars: int) -> list[tuple[int, int]]:
+    """[from, to) of the spans' beginnings inside runs of chunks that the same texts share as a whole."""
+    order = np.argsort(starts)
+    begin, end, others = starts[order], (starts + sizes)[order], others[order]
+    at = np.flatnonzero(np.r_[True, (others[1:] != others[:-1]) | (begin[1:] > end[:-1])])
+    first, last = begin[at], end[np.r_[at[1:], len(begin)] - 1]
+    return [(a, b - min_chars + 1) for a, b in zip(first.tolist(), last.tolist()) if b - a >= min_chars]
+
+
+def shared_windows(texts: DataFrame, min_chars: int, parts: int, buckets: int) -> DataFrame:
+    """(doc, starts): where spans of exactly ``min_chars`` begin that stand in another text; several rows for one text. Of a
+    settled run there are as many as cover it."""
+    chunks = shared_chunks(texts, min_chars, parts, buckets).groupBy("doc").agg(*[F.collect_list(c).alias(c) for c in ("start", "size", "others")])
+    placed = texts.repartition(parts, "doc").join(chunks, "doc").select("doc", "text", "start", "size", "others")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
-                texts, starts, sizes, parts = batch.column(1).to_pylist(), batch.column(2), batch.column(3), []
-                wanted = {}
+                texts, chunks, wanted = batch.column(1).to_pylist(), batch.columns[2:], {}
                 for i, text in enumerate(texts):
-                    if text is not None and (ranges := stretches(starts[i].values.to_numpy(), sizes[i].values.to_numpy(), len(text), min_chars)):
-                        wanted[i] = ranges
+                    start, size, others = (c[i].values.to_numpy() for c in chunks)
+                    if text is not None and (ranges := stretches(start, size, len(text), min_chars)):
+                        wanted[i] = ranges, settled(start, size, others, min_chars)
                 for index, piece in _slices(np.arange(len(texts)), [t if i in wanted else None for i, t in enumerate(texts)], min_chars):
-                    own = np.concatenate([np.full(b - a, k) for k, i in enumerate(index) for a, b in wanted[int(i)]])
-                    start = np.concatenate([np.arange(a, b) for i in index for a, b in wanted[int(i)]])
-                    begin = piece.starts[own] + start
-                    parts.append((piece.digests(begin, begin + min_chars), batch.column(0).to_numpy()[index[own]], start, np.zeros(len(own), np.int64)))
-                yield from _joined(parts, buckets)
+                    places, owners, marks = [], [], []
+                    for k, i in enumerate(index.tolist()):
+                        ranges, runs = wanted[i]
+                        left = np.zeros(int(piece.lengths[k]), bool)
+                        for a, b in ranges:
+                            left[a:b] = True
+                        for a, b in runs:
+                            left[a:b] = False
+                        known = [np.r_[np.arange(a, b, min_chars), b - 1] for a, b in runs]
+                        own = np.concatenate([np.flatnonzero(left), *known])
+                        places.append(own)
+                        owners.append(np.full(len(own), k))
+                        marks.append(np.where(np.arange(len(own)) < left.sum(), 0, 512))
+                    start, own, mark = (np.concatenate(x) for x in (places, owners, marks))
+                    if len(own):
+                        begin = piece.starts[own] + start
+                        more = (piece.digests(begin, begin + min_chars, _OTHER) >> np.uint64(32)).astype(np.uint32)
+                        parts.append((piece.digests(begin, begin + min_chars), more, batch.column(0).to_numpy()[index[own]], start, mark))
+                if sum(len(p[0]) for p in parts) >= HELD:
+                    yield from _joined(parts, buckets)
+                    parts = []
+        yield from _joined(parts, buckets)
 
     def meet(group: pa.Table) -> pa.Table:
-        docs, starts, _ = shared_entries(group)
+        docs, starts, *_ = shared_entries(group)
         order = np.lexsort((starts, docs))
         docs, starts = docs[order], starts[order].astype(np.int32)
         at = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(docs)], pa.int32()), pa.array(starts, pa.int32()))
         return pa.table({"doc": docs[at], "starts": lists if len(at) else pa.array([], pa.list_(pa.int32()))})
 
-    return placed.mapInArrow(emit, _ENTRIES).groupBy("bucket").applyInArrow(meet, "doc long, starts array<int>")
+    return placed.mapInArrow(emit, _ENTRIES).repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, "doc long, starts array<int>")
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
+def _found(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
+    parts = partitions_for(df.sparkSession, texts, BUCKET_BYTES)
+    # several buckets a partition even out what hashing gives each; a bucket stays small where partitions have to grow
+    return shared_windows(texts, min_chars, parts, max(2 * parts, planned_bytes(df) // BUCKET_BYTES))
 
 
 def sharing_texts(df: DataFrame, id_col: str, text_col: str, min_chars: int = 300) -> DataFrame:
     """The ids of texts with a shared span, each once."""
-    buckets = partitions_for(df.sparkSession) * BUCKETS_PER_PARTITION
-    return shared_windows(_texts(df, id_col, text_col), min_chars, buckets).select(F.col("doc").alias(id_col)).distinct()
+    return _found(df, id_col, text_col, min_chars).select(F.col("doc").alias(id_col)).distinct()
 
 
 def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = 300) -> DataFrame:
     """(id, start, length): the stretches of each text that shared spans cover, as long as they reach."""
-    buckets = partitions_for(df.sparkSession) * BUCKETS_PER_PARTITION
-    starts = shared_windows(_texts(df, id_col, text_col), min_chars, buckets).groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
+    starts = _found(df, id_col, text_col, min_chars).groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

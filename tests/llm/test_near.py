@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from strandloom.llm.near import BINS_BITS, SHORT, _emit, grams, hot_bins, large_signatures, near_pairs, part_enum, text_classes
+from strandloom.llm.hashing import pack_texts, unpack_texts
+from strandloom.llm.near import BINS_BITS, SHORT, _emit, bins_for, grams, hot_bins, large_signatures, near_pairs, part_enum, text_classes
 
 
 def lev(a, b, most):
@@ -120,6 +123,53 @@ def test_texts_with_a_large_hot_part_share_signatures():
         assert sum(own[i].isdisjoint(own[500 + i]) for i in range(500)) <= most, (hot_letters, length)
 
 
+def packed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pack_texts(batch.column(1))], ["id", "text"])
+
+
+def mixed(rng, s, edits):
+    """Exactly ``edits`` operations at different places: replaced, deleted or inserted letters."""
+    s, kinds = list(s), [rng.choice("rdi") for _ in range(edits)]
+    for at, kind in zip(sorted(rng.sample(range(len(s)), edits), reverse=True), kinds):
+        s[at : at + 1] = {"r": [rng.choice([c for c in "ACGT" if c != s[at]])], "d": [], "i": [rng.choice("ACGT"), s[at]]}[kind]
+    return "".join(s)
+
+
+@pytest.mark.parametrize("change", [replaced, mixed])
+def test_pairs_of_exactly_eight_edits_at_every_length(spark, change):
+    rng, rows, lengths = random.Random(51), [], {}
+    for length in (64, 72, 80, 84, 96, 110, 150):
+        for _ in range(200):
+            origin, k = "".join(rng.choice("ACGT") for _ in range(length)), len(rows)
+            rows += [(k, origin), (k + 1, change(rng, origin, 8))]
+            lengths[k] = length
+    got = found(spark.createDataFrame(rows, "read_id long, read string"))
+    for length in sorted(set(lengths.values())):
+        own = [k for k, n in lengths.items() if n == length]
+        recall = sum((k, k + 1) in got for k in own) / len(own)
+        print(change.__name__, length, recall)
+        assert recall >= 0.99, (length, recall)
+
+
+def test_corpus_of_long_texts_keeps_its_pairs(spark):
+    assert bins_for(110) == BINS_BITS < bins_for(3000)
+    rng = random.Random(52)
+    rows = [(k, "".join(rng.choice("ACGT") for _ in range(3000))) for k in range(300)]
+    rows += [(1000 + k, mixed(rng, t, 8)) for k, t in rows[:100]]
+    got = found(spark.createDataFrame(rows, "read_id long, read string"), hot_least=1)
+    assert {p for p in got if p[0] < 100} == {(k, 1000 + k) for k in range(100)} == set(got)
+
+
+def test_texts_are_packed_without_loss():
+    rng = random.Random(53)
+    texts = ["", "A", "ACG", "ACGT", "n", "é", "\0", "x" * 1000, "ACGTN"] + ["".join(rng.choice("ACGT") for _ in range(rng.randrange(140))) for _ in range(500)]
+    column = pa.array(texts)
+    assert unpack_texts(pack_texts(column)).to_pylist() == texts
+    assert unpack_texts(pack_texts(column.slice(3, 50))).to_pylist() == texts[3:53]
+    assert len(unpack_texts(pack_texts(column.slice(0, 0)))) == 0 and len(set(pack_texts(column).to_pylist())) == len(set(texts))
+
+
 def test_large_signatures_are_cut_into_slices(spark):
     rng = random.Random(41)
     origin = "".join(rng.choice("ACGT") for _ in range(110))
@@ -128,8 +178,8 @@ def test_large_signatures_are_cut_into_slices(spark):
     options = {"hot_share": 0.1, "hot_least": 1}
     whole, cut = found(df, size=1000, **options), found(df, size=20, **options)
     assert whole == cut and len(cut) > 1000
-    texts = df.selectExpr("read_id as id", "read as text")
-    hot = hot_bins(texts, 8, 0.1 * len(family))
+    texts = df.selectExpr("read_id as id", "read as text").mapInArrow(packed, "id long, text binary")
+    hot = hot_bins(texts, 8, 0.1 * len(family), BINS_BITS, len(family))
     large = large_signatures(texts, hot, 8, 8, 1, len(family), size=20)
     rows = _emit(texts, hot, 8, 8, 1, large).selectExpr("bucket", "length(ids) div 8 as n").groupBy("bucket").sum("n").collect()
     sliced = [r[1] for r in rows if r[0] > 0]
