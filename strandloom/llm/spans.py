@@ -36,7 +36,7 @@ GEAR = 16
 WINDOW = 64
 SLICE = 1 << 18
 #: Bytes of texts, as Spark plans them, whose digests make one bucket.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 3 << 20
 #: Digests of a task that go to their buckets together; the more they are, the better they pack.
 HELD = 1_000_000
 _ODD, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
