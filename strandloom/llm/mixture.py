@@ -1,26 +1,32 @@
 """Mixing sources to target shares of all tokens.
 
-Tokens are counted with a public tokenizer, whose file is a parameter. The total is cut into equal-token blocks, which are
-given to the sources one by one by the highest Sainte-Lague quotient; a source takes no more blocks than its tokens, used
-``max_repeats`` times, can fill. A source's blocks are then apportioned to its shards in the same way. Inside a shard the
-messages stand in a seeded order and fill blocks by their running token count; the shard's quota takes whole rounds over its
-blocks first and the leading blocks of the next round.
+Tokens are counted with a public tokenizer, whose file is a parameter and is sent to the executors. The total is cut into
+equal-token blocks, which are given to the sources by the highest Sainte-Lague quotient; a source takes no more blocks than
+its tokens, used ``max_repeats`` times, can fill, and blocks are small enough that the smallest source with tokens fills
+several. A source that is given all the blocks it can fill is exhausted: all its messages are used as often as they may be. A
+source falls short only if the quotas exhaust it, and its tokens settle whether it does. The blocks of any other source are apportioned to its shards
+in the same way. Inside a shard the messages stand in a seeded order by their running token count; the tokens of the
+shard's blocks give whole rounds over the shard first and the leading messages of the next round.
 
 Defined results: a null text has no tokens; a source without messages gets nothing and is short; a source without a target
 is left out; a null source belongs to no target; repeated target rows of a source count once, the one with the largest
-share; ties between quotients go to the source earlier in binary order; empty tables give no rows or shares of 0.
+share; a null ``max_repeats`` counts as 1; ties between quotients go to the source earlier in binary order; empty tables
+give no rows or shares of 0.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +36,14 @@ from strandloom.session import cut_lineage
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the vocabulary, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longer runs of one kind are cut before encoding, whose cost grows faster than a run.
-PIECE = 100_000
-#: Messages of a shard, and the blocks it should hold at least, so that what its last, unfilled block lacks weighs little.
+#: White space of this length or more is encoded apart from its text: the pattern would be matched by recursion over it.
+RUN = 100_000
+_SPACE = r"[ \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG = re.compile(f"{_SPACE}{{{RUN},}}")
+#: Messages of a shard, and the blocks it should hold at least, so that what a block's border cuts weighs little.
 SHARD_ROWS, SHARD_BLOCKS = 20_000, 64
+#: Blocks that the smallest source with tokens fills at least.
+LEAST_BLOCKS = 8
 
 
 @lru_cache(1)
@@ -45,15 +55,28 @@ def _encoding(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def count_tokens(encoding, text: str | None) -> int:
+    """The number of tokens of a whole text, long white space included."""
+    if not text:
+        return 0
+    total, at = 0, 0
+    for run in _LONG.finditer(text) if len(text) >= RUN else ():
+        end = run.end() - (run.end() < len(text))  # the last one goes with what follows
+        total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end].encode()))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:] if at else text))
+
+
 def token_counts(df: DataFrame, text: str = "text", keep: list[str] | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """``keep`` columns plus ``tokens``; the texts themselves go no further."""
     keep = keep or []
     source = df.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
+    df.sparkSession.sparkContext.addFile(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encoding = _encoding(SparkFiles.get(os.path.basename(tokenizer)))
         for batch in batches:
-            tokens = [sum(len(encode(t[at : at + PIECE])) for at in range(0, len(t), PIECE)) if t else 0 for t in batch.column(len(keep)).to_pylist()]
+            tokens = [count_tokens(encoding, t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(tokens, pa.int64())], [*keep, "tokens"])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "tokens long"])
@@ -107,48 +130,58 @@ def apportion(claims: DataFrame, key: list[str], within: list[str], seats: str)
 
 
 def shares(counted: DataFrame, targets: DataFrame, blocks: int | None = None) -> DataFrame:
-    """One row for each target source: tokens, capacity, the blocks given, the share reached and whether it falls short.
+    """One row for each target source: its tokens, its capacity and the blocks it can fill, the blocks given, whether these
+    exhaust it, and whether it falls short of its share.
 
     ``counted`` is (source, tokens). Only sums by source are gathered. There are 10,000 blocks or, where that is more, as
-    many as give each shard of ``SHARD_ROWS`` messages ``SHARD_BLOCKS`` of them.
+    many as give each shard of ``SHARD_ROWS`` messages ``SHARD_BLOCKS`` of them and the smallest source ``LEAST_BLOCKS``.
+
+    The quotas exhaust every short source: with ``n`` sources a quota lies at most (n + 1) / 2 blocks below its exact share,
+    which caps of other sources only raise, and a short source can fill less than that share.
     """
     held = cut_lineage(counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))  # read twice, tokens are counted once
+    goals = targets.where("source is not null").groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("g")).select("source", "g.*")
+    claims = goals.join(held, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    claims = claims.withColumn("capacity", F.col("tokens") * F.coalesce("max_repeats", F.lit(1)))
     total, rows = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    least, count, goal = claims.agg(F.min(F.when(F.col("capacity") > 0, F.col("capacity"))), F.count("*"), F.coalesce(F.sum("target_share"), F.lit(0.0))).first()
     blocks = blocks or max(10_000, rows * SHARD_BLOCKS // SHARD_ROWS)
-    goals = targets.where("source is not null").groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("g")).select("source", "g.*")
+    block = max(1, min(-(-total // blocks), (least or total) // LEAST_BLOCKS))
     claims = (
-        goals.join(held, "source", "left")
-        .select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(total).cast("long").alias("total"), F.lit(max(1, -(-total // blocks))).cast("long").alias("block"))
-        .withColumn("capacity", F.col("tokens") * F.coalesce("max_repeats", F.lit(1)))
-        .withColumn("cap", F.floor(F.col("capacity") / F.col("block")))
-        .withColumn("weight", F.col("target_share")).withColumn("seats", F.floor(F.col("total") / F.col("block"))).withColumn("whole", F.lit(1))
-    )
-    quotas = apportion(claims, ["source"], ["whole"], "seats")
-    mixed = F.sum(F.col("quota")).over(Window.partitionBy("whole"))
-    return quotas.select(
-        "source", "target_share", "max_repeats", "tokens", "capacity", "total", "block", "quota",
-        F.when(mixed > 0, F.col("quota") / mixed).otherwise(F.lit(0.0)).alias("share"),
-        (F.col("capacity") < F.col("target_share") * F.col("total")).alias("short"),
+        claims.withColumn("total", F.lit(total).cast("long")).withColumn("block", F.lit(block).cast("long")).withColumn("cap", F.ceil(F.col("capacity") / F.col("block")))
+        .withColumn("weight", F.col("target_share")).withColumn("seats", F.lit(int(total * max(goal, 1.0)) // block).cast("long")).withColumn("whole", F.lit(1))
     )
+    quotas = apportion(claims, ["source"], ["whole"], "seats").withColumn("exhausted", F.col("quota") + (count + 1) // 2 >= F.col("cap"))
+    return quotas.select("source", "target_share", "max_repeats", "tokens", "capacity", "total", "block", "cap", "quota", "exhausted", (F.col("exhausted") & (F.col("capacity") < F.col("target_share") * F.col("total"))).alias("short"))
 
 
 def select_blocks(counted: DataFrame, plan: DataFrame, seed: int = 7, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, source, tokens, times): how often each message is used, for those used at least once.
 
     A shard holds about ``shard_rows`` messages of one source and ``SHARD_BLOCKS`` blocks at least, so a source with a third
-    of all messages is spread over as many tasks as it needs. A message belongs to the block that its middle token falls into. ``counted`` is
-    (doc_id, source, tokens).
+    of all messages is spread over as many tasks as it needs. The messages whose middle token lies within the tokens of the
+    shard's last round are used once more. ``counted`` is (doc_id, source, tokens).
     """
+    repeats = F.coalesce("max_repeats", F.lit(1))
+    given = plan.where("quota > 0").withColumn("max_repeats", repeats)
+    whole = counted.join(given.where("quota >= cap").select("source", "max_repeats"), "source").where("tokens > 0").select("doc_id", "source", "tokens", F.col("max_repeats").cast("int").alias("times"))
     rows = counted.groupBy("source").agg(F.ceil(F.count("*") / shard_rows).alias("by_rows"), F.sum("tokens").alias("held"))
     by_tokens = F.floor(F.col("held") / (F.col("block") * SHARD_BLOCKS))
-    goals = plan.where("quota > 0").join(rows, "source").select("source", "block", "quota", "max_repeats", F.greatest(F.lit(1), F.least("by_rows", by_tokens)).alias("shards"))
-    placed = counted.join(goals, "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")))
-    sizes = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("weight"), F.first("block").alias("block"), F.first("quota").alias("seats"), F.first("max_repeats").alias("repeats"))
-    sizes = sizes.withColumn("filled", F.greatest(F.lit(1), F.ceil(F.col("weight") / F.col("block")))).withColumn("cap", F.col("filled") * F.coalesce("repeats", F.lit(1)))
-    quotas = apportion(sizes, ["shard"], ["source"], "seats").select("source", "shard", "filled", F.col("quota").alias("shard_quota"))
+    goals = given.where("quota < cap").join(rows, "source").select("source", "block", "quota", "max_repeats", F.greatest(F.lit(1), F.least("by_rows", by_tokens)).alias("shards"))
+    placed = counted.where("tokens > 0").join(goals, "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")))
+    sizes = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("weight"), F.first("block").alias("block"), F.first("quota").alias("seats"), F.first("max_repeats").alias("most"))
+    sizes = sizes.withColumn("cap", F.ceil(F.col("weight") * F.col("most") / F.col("block")))
+    wanted = F.least(F.col("quota") * F.col("block"), F.col("weight") * F.col("most"))
+    quotas = apportion(sizes, ["shard"], ["source"], "seats").select("source", "shard", F.floor(wanted / F.col("weight")).alias("rounds"), (wanted % F.col("weight")).alias("rest"))
     running = F.sum("tokens").over(Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    middle = F.coalesce(running, F.lit(0)) + F.col("tokens") / 2
-    chosen = placed.withColumn("at", F.floor(middle / F.col("block"))).join(quotas, ["source", "shard"])
-    rounds = F.floor(F.col("shard_quota") / F.col("filled"))
-    times = rounds + F.when(F.col("at") < F.col("shard_quota") - rounds * F.col("filled"), 1).otherwise(0)
-    return chosen.select("doc_id", "source", "tokens", times.cast("int").alias("times")).where("times > 0")
+    chosen = placed.withColumn("middle", F.coalesce(running, F.lit(0)) + F.col("tokens") / 2).join(quotas, ["source", "shard"])
+    times = F.col("rounds") + F.when(F.col("middle") < F.col("rest"), 1).otherwise(0)
+    return chosen.select("doc_id", "source", "tokens", times.cast("int").alias("times")).where("times > 0").unionByName(whole)
+
+
+def reached(plan: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``plan`` plus ``used``, the tokens of the messages chosen, and ``share``, what they are of all tokens chosen."""
+    used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("used"))
+    both = plan.join(used, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    mixed = F.sum("used").over(Window.partitionBy(F.lit(1)))  # one row for each source
+    return both.withColumn("share", F.coalesce(F.try_divide("used", mixed), F.lit(0.0)))

@@ -64,24 +64,27 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.groupBy("source").agg(F.count("*").alias("documents"))
 
 
-def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = mixture.token_counts(table(spark, sf_dir, "documents"), keep=["source"])
-    return mixture.shares(counted, table(spark, sf_dir, "mix_targets"))
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The plan, and the messages chosen by it."""
+    counted = cut_lineage(mixture.token_counts(table(spark, sf_dir, "documents"), keep=["doc_id", "source"]))
+    plan = cut_lineage(mixture.shares(counted.select("source", "tokens"), table(spark, sf_dir, "mix_targets")))
+    return plan, mixture.select_blocks(counted, plan)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shares(spark, sf_dir).where("short").select("source")
+    """Sources that the quotas exhaust and whose tokens fall short of their share."""
+    counted = mixture.token_counts(table(spark, sf_dir, "documents"), keep=["source"])
+    return mixture.shares(counted, table(spark, sf_dir, "mix_targets")).where("short").select("source")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shares(spark, sf_dir).select("source", "target_share", "tokens", "quota", "share", "short")
+    """What each source was given and which share its chosen messages reach."""
+    return mixture.reached(*_mixture(spark, sf_dir)).select("source", "target_share", "tokens", "quota", "used", "share", "short")
 
 
 def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the mixture as selected, by source: what the blocks chosen add up to."""
-    counted = cut_lineage(mixture.token_counts(table(spark, sf_dir, "documents"), keep=["doc_id", "source"]))
-    plan = mixture.shares(counted.select("source", "tokens"), table(spark, sf_dir, "mix_targets"))
-    chosen = mixture.select_blocks(counted, plan)
+    """Tokens of the mixture as selected, by source: what the messages chosen add up to."""
+    chosen = _mixture(spark, sf_dir)[1]
     return chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.max("times").alias("most_times"), F.count("*").alias("documents"))
 
 

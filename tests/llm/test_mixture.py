@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from strandloom.llm.mixture import TOKENIZER, apportion, highest_quotients, select_blocks, shares, token_counts
+from strandloom.llm.mixture import RUN, TOKENIZER, _encoding, apportion, count_tokens, highest_quotients, reached, select_blocks, shares, token_counts
 
 
 def divisors(weights, caps, seats):
@@ -53,7 +53,7 @@ def test_shares_and_selection(spark):
     by = {r["source"]: r for r in plan.collect()}
     total = sum(t for _, _, t in rows)
     assert {k: v["short"] for k, v in by.items()} == {"big": False, "small": True, "gone": True, "late": True}
-    assert by["small"]["capacity"] == 4000 and by["gone"]["tokens"] == 0 and by["big"]["total"] == total and abs(sum(r["share"] for r in by.values()) - 1) < 1e-9
+    assert by["small"]["capacity"] == 4000 and by["gone"]["tokens"] == 0 and by["big"]["total"] == total 
     chosen = select_blocks(counted, plan, shard_rows=50).collect()
     used = {}
     for r in chosen:
@@ -62,10 +62,46 @@ def test_shares_and_selection(spark):
     block = by["big"]["block"]
     assert abs(used["big"] - by["big"]["quota"] * block) <= 0.03 * used["big"] and abs(used["small"] - by["small"]["quota"] * block) <= 0.05 * used["small"]
     assert sorted(map(tuple, chosen)) == sorted(map(tuple, select_blocks(counted, plan, shard_rows=50).collect()))
-    assert shares(counted.limit(0).select("source", "tokens"), goals).where("share > 0").collect() == []
+    shared = {r["source"]: r for r in reached(plan, select_blocks(counted, plan, shard_rows=50)).collect()}
+    assert {k: r["used"] for k, r in shared.items()} == {**used, "gone": 0, "late": 0} and abs(sum(r["share"] for r in shared.values()) - 1) < 1e-9
+    assert used["small"] == 4000  # all it has, as often as it may be used
+    empty = shares(counted.limit(0).select("source", "tokens"), goals)
+    assert empty.where("quota > 0 or short").collect() == [] and {r["share"] for r in reached(empty, select_blocks(counted.limit(0), empty)).collect()} == {0.0}
     assert shares(counted.select("source", "tokens"), goals.limit(0)).collect() == [] and select_blocks(counted.limit(0), plan).collect() == []
 
 
+def test_a_source_smaller_than_a_block_gets_its_tokens(spark):
+    rows = [(i, "big", 1000) for i in range(9999)] + [(10_000 + i, "tiny", 90) for i in range(10)] + [(20_000, "grain", 1)]
+    counted = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    goals = spark.createDataFrame([("big", 0.9998, 1), ("tiny", 0.0001, 1), ("grain", 0.0001, 1)], "source string, target_share double, max_repeats int")
+    plan = shares(counted.select("source", "tokens"), goals)
+    got = {r["source"]: r for r in reached(plan, select_blocks(counted, plan)).collect()}
+    assert got["tiny"]["used"] == 900 and got["grain"]["used"] == 1 and got["big"]["used"] > 0.99 * 9_999_000
+    assert {k for k, r in got.items() if r["short"]} == {"tiny", "grain"} == {k for k, r in got.items() if r["capacity"] < r["target_share"] * r["total"]} - {"big"}
+
+
+def test_short_sources_are_those_that_quotas_exhaust(spark):
+    rng = random.Random(9)
+    for _ in range(6):
+        names = [f"s{k}" for k in range(rng.randrange(2, 9))]
+        share = [rng.random() for _ in names]
+        rows = [(k, n, rng.randrange(1, 3000)) for k, n in enumerate(rng.choices(names, k=200))]
+        counted = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+        goals = spark.createDataFrame([(n, s / sum(share), rng.choice([1, 2, 4])) for n, s in zip(names, share)], "source string, target_share double, max_repeats int")
+        for r in shares(counted.select("source", "tokens"), goals, blocks=rng.choice([50, 10_000])).collect():
+            assert r["short"] == (r["capacity"] < r["target_share"] * r["total"]) and (r["exhausted"] or not r["short"])
+
+
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer files")
+def test_long_texts_count_as_uncut_ones():
+    encoding = _encoding(TOKENIZER)
+    text = "It's 12 words, isn't it?\n" * 40_000
+    assert count_tokens(encoding, text) == len(encoding.encode_ordinary(text))
+    for space in (" " * (RUN + 5), "\n" * RUN, " " * (RUN - 1) + "\n"):
+        for text in (space, f"ab{space}cd", f"{space}, x{space}", f"a{space}9{space}b c"):
+            assert count_tokens(encoding, text) == len(encoding.encode_ordinary(text))
+
+
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer files")
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world", "x"), (2, None, "x"), (3, "", "y"), (4, "ab " * 200_000, None)], "doc_id long, text string, source string")
