@@ -6,7 +6,11 @@ with ``idx`` and ``read`` and give rows; a null read gives none, a read shorter
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values that define the keys and signatures.
@@ -17,6 +21,8 @@ SIG_BLOCK = 22
 SIG_WORDS = 6
 INVALID = 255
 PAST_END = 4
+_BASES = np.full(128, -1, np.int64)
+_BASES[[ord(b) for b in "ACGT"]] = np.arange(4)
 
 
 def base_code(symbol: Column) -> Column:
@@ -52,22 +58,79 @@ def anchor_schedule() -> list[int]:
     return codes
 
 
+class Symbols:
+    """The reads of a batch laid end to end as base codes, -1 for no base, with owner and place of each symbol."""
+
+    def __init__(self, reads: list[str]):
+        self.count, lengths = len(reads), np.fromiter(map(len, reads), np.int64, len(reads))
+        points = np.frombuffer("".join(reads).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.codes = np.where(points < 128, _BASES[np.minimum(points, 127)], -1).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(reads)), lengths)
+        self.place = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.left = np.repeat(lengths, lengths) - self.place  # symbols from here to the end
+
+    def grams(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """(where each valid q-gram begins, its code)."""
+        width = max(0, len(self.codes) - q + 1)
+        code, valid = np.zeros(width, np.int64), self.left[:width] >= q
+        for k in range(q):
+            code = code * 4 + self.codes[k : k + width]
+            valid &= self.codes[k : k + width] >= 0
+        at = np.flatnonzero(valid)
+        return at, code[at]
+
+    def keys(self, rounds: int, occurrences: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where the anchor begins, round, key)."""
+        turn = np.full(256, rounds)
+        turn[anchor_schedule()[:rounds]] = np.arange(rounds)
+        at, code = self.grams(ANCHOR)
+        it = turn[code]
+        at, it = at[it < rounds], it[it < rounds]
+        order = np.argsort(self.owner[at] * rounds + it, kind="stable")  # places stay in order
+        at, it = at[order], it[order]
+        new = np.flatnonzero(np.diff(self.owner[at] * rounds + it, prepend=-1))
+        nth = np.arange(len(at)) - np.repeat(new, np.diff(np.r_[new, len(at)]))
+        at, it = at[nth < occurrences], it[nth < occurrences]
+        key, padded = np.zeros(len(at), np.int64), np.concatenate([self.codes, np.zeros(ANCHOR + KEY_SYMBOLS, np.int64)])
+        for j in range(ANCHOR, ANCHOR + KEY_SYMBOLS):
+            symbol = padded[at + j]
+            key = key * 5 + np.where(j >= self.left[at], PAST_END, np.where(symbol < 0, INVALID, symbol))
+        return at, it, key
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """(signature of each read, whether it has a valid gram)."""
+        at, code = self.grams(SIG_GRAM)
+        bits, some = np.zeros((self.count, SIG_WORDS), np.uint64), np.zeros(self.count, bool)
+        np.bitwise_or.at(bits, (self.owner[at], np.minimum(self.place[at] // SIG_BLOCK, SIG_WORDS - 1)), np.uint64(1) << code.astype(np.uint64))
+        some[self.owner[at]] = True
+        return bits.view(np.int64), some
+
+
+def _coded(reads: DataFrame, make: Callable[[pa.Array, Symbols], dict], kinds: str) -> DataFrame:
+    """Rows that ``make`` gives for the ids and symbols of a batch. No read is shuffled, and none is repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict(make(batch.column(0).to_numpy(), Symbols(batch.column(1).to_pylist())))
+
+    return reads.where("read is not null").select(F.col("idx").cast("long").alias("idx"), "read").mapInArrow(run, kinds)
+
+
+_WORDS = ", ".join(f"s{b} long" for b in range(SIG_WORDS))
+
+
 def anchor_keys(reads: DataFrame, rounds: int, occurrences: int) -> DataFrame:
     """(idx, it, pos, key): the keys of the first ``occurrences`` places of each round's anchor.
 
     A key folds the six symbols after the anchor in base 5; a place past the end counts 4, an invalid symbol 255, which is
-    why the fold is arithmetic. Keys are folded before occurrences are numbered, so no read is shuffled.
+    why the fold is arithmetic.
     """
-    schedule = reads.sparkSession.createDataFrame([(code, it) for it, code in enumerate(anchor_schedule()[:rounds])], "code int, it int")
-    found = gram_rows(reads, ANCHOR, ["read"]).join(F.broadcast(schedule), "code")  # at most 256 rows
-    nth = F.row_number().over(Window.partitionBy("idx", "it").orderBy("pos"))
-    key = F.lit(0).cast("long")
-    for j in range(KEY_SYMBOLS):
-        code = base_code(F.expr(f"substring(read, pos + {ANCHOR + j + 1}, 1)"))
-        symbol = F.when(F.col("pos") + ANCHOR + j >= F.length("read"), PAST_END).when(code < 0, INVALID).otherwise(code)
-        key = key * 5 + symbol
-    folded = found.select("idx", "it", "pos", key.alias("key"))
-    return folded.withColumn("__n", nth).where(F.col("__n") <= occurrences).select("idx", "it", "pos", "key")
+
+    def make(idx: np.ndarray, symbols: Symbols) -> dict:
+        at, it, key = symbols.keys(rounds, occurrences)
+        return {"idx": idx[symbols.owner[at]], "it": it.astype(np.int32), "pos": symbols.place[at].astype(np.int32), "key": key}
+
+    return _coded(reads, make, "idx long, it int, pos int, key long")
 
 
 def signatures(reads: DataFrame) -> DataFrame:
@@ -75,9 +138,23 @@ def signatures(reads: DataFrame) -> DataFrame:
 
     Reads without a valid trigram have no row; their signature is all zero.
     """
-    block = F.least(F.floor(F.col("pos") / SIG_BLOCK), F.lit(SIG_WORDS - 1))
-    rows = gram_rows(reads, SIG_GRAM).select("idx", block.alias("blk"), F.expr("shiftleft(1L, code)").alias("bit"))
-    return rows.groupBy("idx").agg(*[F.coalesce(F.bit_or(F.when(F.col("blk") == b, F.col("bit"))), F.lit(0).cast("long")).alias(f"s{b}") for b in range(SIG_WORDS)])
+
+    def make(idx: np.ndarray, symbols: Symbols) -> dict:
+        bits, some = symbols.words()
+        return {"idx": idx[some], **{f"s{b}": bits[some, b] for b in range(SIG_WORDS)}}
+
+    return _coded(reads, make, f"idx long, {_WORDS}")
+
+
+def signed_keys(reads: DataFrame, rounds: int, occurrences: int) -> DataFrame:
+    """(idx, it, key, s0..s5): keys that carry their read's signature, made together."""
+
+    def make(idx: np.ndarray, symbols: Symbols) -> dict:
+        at, it, key = symbols.keys(rounds, occurrences)
+        own, bits = symbols.owner[at], symbols.words()[0]
+        return {"idx": idx[own], "it": it.astype(np.int32), "key": key, **{f"s{b}": bits[own, b] for b in range(SIG_WORDS)}}
+
+    return _coded(reads, make, f"idx long, it int, key long, {_WORDS}")
 
 
 def hamming(left: str = "x", right: str = "y") -> Column:

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.distance import block_distances
-from strandloom.operators.candidates import BUCKET_CAP, MERGE_ROUNDS, THETA_MERGE, sided_pairs, signed_keys, verified
+from strandloom.functions.encode import signed_keys
+from strandloom.operators.candidates import BUCKET_CAP, MERGE_ROUNDS, THETA_MERGE, sided_pairs, verified
 from strandloom.operators.calibrate import BLOCK
 from strandloom.operators.components import labels
+from strandloom.session import cut_lineage
 
 
 def merge_components(strings: DataFrame, edges: DataFrame, tau: int) -> DataFrame:
@@ -63,26 +65,43 @@ def absorb_exact(near: DataFrame, merged: DataFrame) -> DataFrame:
     return ties.groupBy("a").agg(F.min("b").alias("core"), F.min("d").alias("d"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 = l1").select(F.col("a").alias("idx"), "core", "d")
 
 
-def absorb_statistics(proposed: DataFrame, near: DataFrame, merged: DataFrame, rest: DataFrame, c_post: int, keep: int, tau: int) -> DataFrame:
-    """(fast, local, full, moved, added, tie_rejected, absorbed): how the exact result relates to the filtered proposal.
+def resolve(rest: DataFrame, strings: DataFrame, edges: DataFrame, merged: DataFrame, c_post: int, keep: int, tau: int, theta: int = THETA_MERGE, occurrences: int = 4, cap: int | None = BUCKET_CAP) -> DataFrame:
+    """(idx, way, first, core, d, near) of each left-over read: the component that ``absorb_exact`` gives it, mostly without
+    a search over all strings.
 
-    A proposal is proven where twice its distance is below ``c_post``; else the neighbourhood of the proposed string is
-    enough where its distance plus ``tau`` is kept, and all strings are looked at in the remaining cases.
+    Keys propose a string ``first`` at some distance ``a``. Where 2a is below ``c_post``, the least distance between
+    components, no other component can be as near (way ``fast``). Else, where a + ``tau`` is at most ``keep``, every string
+    within ``tau`` is linked to the proposed one by an edge of at most a + ``tau``, so only its neighbours are compared
+    (``local``). All strings are searched for the remaining reads alone (``full``). ``core`` is null for a read that stays
+    alone, ``near`` says whether a string was within ``tau``; for way ``fast`` the core is the proposed string.
     """
-    label = merged.select(F.col("idx").alias("core"), "label")
-    first = rest.select("idx").join(proposed.join(label, "core").select("idx", F.col("d").alias("a"), F.col("label").alias("was")), "idx", "left")
-    final = absorb_exact(near, merged).join(label, "core").select("idx", F.col("label").alias("now"))
-    some = near.select(F.col("a").alias("idx")).distinct().withColumn("some", F.lit(True))
-    rows = first.join(final, "idx", "left").join(some, "idx", "left")
-    fast = F.col("a").isNotNull() & (2 * F.col("a") < c_post)
-    local = ~fast & F.col("a").isNotNull() & (F.col("a") + tau <= keep)
-    rows = rows.select(F.coalesce(fast, F.lit(False)).alias("fast"), F.coalesce(local, F.lit(False)).alias("local"), "was", "now", "some")
-    checked = ~F.col("fast")
+    proposed = absorb_filtered(rest, strings, tau, theta, occurrences, cap).select("idx", F.col("core").alias("first"), F.col("d").alias("a"))
+    way = F.when(2 * F.col("a") < c_post, "fast").when(F.col("a") + tau <= keep, "local").otherwise("full")
+    ways = cut_lineage(rest.select("idx", "read").join(proposed, "idx", "left").withColumn("way", way))
+    local = ways.where("way = 'local'")
+    kept = edges.where(F.col("d") <= keep).select("a", "b", "d")
+    around = kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).withColumnRenamed("a", "first")
+    beside = local.join(around, "first").where(F.col("d") <= F.col("a") + tau).select(F.col("idx").alias("a"), "b")
+    met = verified(beside.unionByName(local.select(F.col("idx").alias("a"), F.col("first").alias("b"))), local, strings, tau)
+    near = cut_lineage(met.unionByName(near_strings(ways.where("way = 'full'"), strings, tau)))
+    some = near.select(F.col("a").alias("idx")).distinct().withColumn("near", F.lit(True))
+    fast = ways.where("way = 'fast'").select("idx", F.col("first").alias("core"), F.col("a").alias("d"))
+    chosen = fast.unionByName(absorb_exact(near, merged))
+    rows = ways.select("idx", "way", "first").join(chosen, "idx", "left").join(some, "idx", "left")
+    return rows.select("idx", "way", "first", "core", "d", (F.coalesce("near", F.lit(False)) | (F.col("way") == "fast")).alias("near"))
+
+
+def absorb_statistics(resolved: DataFrame, merged: DataFrame) -> DataFrame:
+    """(fast, local, full, moved, added, tie_rejected, absorbed) of what ``resolve`` did: how many reads took each way, and
+    among those that were compared, how many changed component, were added, or were as near to two components."""
+    was, now = (merged.select(F.col("idx").alias(c), F.col("label").alias(n)) for c, n in (("first", "was"), ("core", "now")))
+    rows = resolved.join(was, "first", "left").join(now, "core", "left")
+    checked = F.col("way") != "fast"
     return rows.agg(
-        F.count_if("fast").alias("fast"), F.count_if("local").alias("local"), F.count_if(checked & ~F.col("local")).alias("full"),
+        *[F.count_if(F.col("way") == w).alias(w) for w in ("fast", "local", "full")],
         F.count_if(checked & F.col("was").isNotNull() & F.col("now").isNotNull() & (F.col("was") != F.col("now"))).alias("moved"),
         F.count_if(checked & F.col("was").isNull() & F.col("now").isNotNull()).alias("added"),
-        F.count_if(checked & F.col("some").isNotNull() & F.col("now").isNull()).alias("tie_rejected"),
+        F.count_if(checked & F.col("near") & F.col("now").isNull()).alias("tie_rejected"),
         F.count("now").alias("absorbed"),
     )
 

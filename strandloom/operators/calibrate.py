@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.distance import block_distances
-from strandloom.operators.candidates import BUCKET_CAP, MERGE_ROUNDS, THETA_MERGE, bucket_pairs, signed_keys, verified
+from strandloom.functions.encode import signed_keys
+from strandloom.operators.candidates import BUCKET_CAP, MERGE_ROUNDS, THETA_MERGE, bucket_pairs, verified
 
 MIN_GAP = 2
 #: Strings that one block of the exact pair search holds.
 BLOCK = 512
+#: Strings up to which all pairs are searched; ``filtered_pairs`` is the way beyond.
+EXACT_MAX = 50_000
 
 
 @dataclass
@@ -38,14 +41,17 @@ def distance_limit(strings: DataFrame, fraction: float = 0.5) -> int:
     return max(4, int(fraction * (middle or 0)))
 
 
-def all_pairs(strings: DataFrame, limit: int, keep: int | None = None) -> DataFrame:
+def all_pairs(strings: DataFrame, limit: int, keep: int | None = None, most: int = EXACT_MAX) -> DataFrame:
     """(a, b, d, n): every pair within ``keep`` edits, and beyond it up to ``limit`` only how many there are (a, b null).
 
-    The work grows with the square of the strings; the pipeline bounds them by ``exact_max``, single queries do not. They are put into blocks, and every two blocks meet in
-    one group of bounded size, so the pairs spread evenly over tasks and no side is broadcast.
+    The work grows with the square of the strings, so more than ``most`` of them raise ValueError. They are put into blocks,
+    and every two blocks meet in one group of bounded size, so the pairs spread evenly over tasks and no side is broadcast.
     """
     keep = limit if keep is None else keep
-    blocks = max(1, -(-strings.count() // BLOCK))
+    count = strings.count()
+    if count > most:
+        raise ValueError(f"{count} strings are too many for all pairs; use filtered_pairs above {most}")
+    blocks = max(1, -(-count // BLOCK))
     placed = strings.select("idx", "read", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("blk"))
     left = placed.select("idx", "read", F.lit(0).alias("side"), F.col("blk").alias("p"), F.explode(F.sequence(F.col("blk"), F.lit(blocks - 1))).alias("q"))
     right = placed.where("blk > 0").select("idx", "read", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("p"), F.col("blk").alias("q"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.encode import SIG_WORDS, anchor_keys, hamming, signatures
+from strandloom.functions.encode import SIG_WORDS, anchor_keys, hamming, signatures, signed_keys
 
 # Fixed values of the clustering.
 BUCKET_CAP = 4096
@@ -51,11 +51,6 @@ def sided_pairs(left: DataFrame, right: DataFrame, cap: int | None = BUCKET_CAP,
     return (met if theta is None else met.where(hamming() <= theta)).select("a", "b")
 
 
-def signed_keys(reads: DataFrame, rounds: int, occurrences: int) -> DataFrame:
-    """(idx, it, key, s0..s5); both parts are kept by idx, so the join shuffles nothing more."""
-    return anchor_keys(reads, rounds, occurrences).select("idx", "it", "key").join(signatures(reads), "idx", "left")
-
-
 def signed(reads: DataFrame, prefix: str, idx: str) -> DataFrame:
     """Reads with their signature, columns renamed for one side of a pair."""
     joined = reads.select("idx", "read").join(signatures(reads), "idx", "left")

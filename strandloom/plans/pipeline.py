@@ -26,7 +26,7 @@ class Options:
     sig_abs: int = candidates.THETA_MERGE
     margin: float = 0.25
     anchor_occ: int = 4
-    exact_max: int = 50_000
+    exact_max: int = calibrate.EXACT_MAX
     bucket_cap: int | None = candidates.BUCKET_CAP
     audit_sample: int = 0
     auto_tau: bool = False
@@ -83,7 +83,7 @@ def cluster(unique: DataFrame, options: Options | None = None) -> Clustering:
     if not options.approx and 2 <= count <= options.exact_max:
         limit = calibrate.distance_limit(strings)
         # all that any threshold can need; beyond it only the histogram counts
-        pairs = cut_lineage(calibrate.all_pairs(strings, limit, limit if options.auto_tau else min(2 * max(tau_abs, tau_cons) + 1, limit)))
+        pairs = cut_lineage(calibrate.all_pairs(strings, limit, limit if options.auto_tau else min(2 * max(tau_abs, tau_cons) + 1, limit), options.exact_max))
         result.histogram = calibrate.histogram(pairs, limit)
         found = calibrate.ceiling_below_peak(calibrate.counts_of(result.histogram))
         ceiling = found.ceiling if found.kind else limit + 1
@@ -93,9 +93,13 @@ def cluster(unique: DataFrame, options: Options | None = None) -> Clustering:
             tau_abs = tau_cons = tau_safe
             keep = min(2 * tau_safe + 1, limit)
         tau_cons, tau_abs = (tau_safe if t >= ceiling else t for t in (tau_cons, tau_abs))
-        merged = cut_lineage(absorb.merge_components(strings, pairs.where("a is not null").where(F.col("d") <= keep), tau_cons))
-        taken = absorb.absorb_exact(absorb.near_strings(rest, strings, tau_abs), merged)
-        result.metrics |= {"mode": "exact", "limit": limit, "ceiling": ceiling, "kind": found.kind, "keep": keep}
+        edges = pairs.where("a is not null").where(F.col("d") <= keep)
+        merged = cut_lineage(absorb.merge_components(strings, edges, tau_cons))
+        c_post = absorb.closest_apart(merged, edges, keep).first()[0]
+        resolved = cut_lineage(absorb.resolve(rest, strings, edges, merged, c_post, keep, tau_abs, options.sig_abs, options.anchor_occ, options.bucket_cap))
+        taken = resolved.where("core is not null").select("idx", "core", "d")
+        result.metrics |= {"mode": "exact", "limit": limit, "ceiling": ceiling, "kind": found.kind, "keep": keep, "c_post": c_post}
+        result.metrics["absorbed"] = absorb.absorb_statistics(resolved, merged).first().asDict()
     else:
         occurrences = 1 if options.approx else options.anchor_occ
         if options.auto_tau and count:

@@ -264,13 +264,22 @@ def absorb_exact(spark: SparkSession, d: str) -> DataFrame:
     return absorb.absorb_exact(absorb.near_strings(rest, strings, 16), merged)
 
 
-def absorb_statistics(spark: SparkSession, d: str) -> DataFrame:
+def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rest, strings = _rest(spark, d)
     edges = cut_lineage(calibrate.all_pairs(strings, 41))
     merged = cut_lineage(absorb.merge_components(strings, edges, 20))
     closest = absorb.closest_apart(merged, edges, 41).first()[0]
-    near = cut_lineage(absorb.near_strings(rest, strings, 16))
-    return absorb.absorb_statistics(absorb.absorb_filtered(rest, strings, 16), near, merged, rest, closest, 41, 16)
+    return cut_lineage(absorb.resolve(rest, strings, edges, merged, closest, 41, 16)), merged
+
+
+def absorb_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """The component each left-over read goes to, by proof, neighbours or search."""
+    resolved, merged = _resolved(spark, d)
+    return resolved.join(merged.select(F.col("idx").alias("core"), "label"), "core").select("idx", "label")
+
+
+def absorb_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return absorb.absorb_statistics(*_resolved(spark, d))
 
 
 def _sink(make: Callable[[DataFrame, DataFrame, pipeline.Clustering], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -299,7 +308,7 @@ QUERIES = {
     "consensus_pairs": consensus_pairs, "dmax": dmax, "distance_histogram": distance_histogram, "histogram_dense": histogram_dense,
     "ceiling": ceiling, "filtered_histogram": filtered_histogram, "auto_tau": auto_tau, "c_post": c_post,
     "absorb_candidates": absorb_candidates, "absorb_filtered": absorb_filtered, "nearest_consensus": nearest_consensus,
-    "absorb_exact": absorb_exact, "absorb_statistics": absorb_statistics,
+    "absorb_exact": absorb_exact, "absorb_resolved": absorb_resolved, "absorb_statistics": absorb_statistics,
     "clusters_default": _sink(lambda lines, unique, result: pipeline.cluster_sizes(unique, result)),
     "clusters_members": _sink(lambda lines, unique, result: pipeline.cluster_members(unique, result)),
     "clusters_seq_id": _sink(lambda lines, unique, result: pipeline.cluster_ids(lines, unique, result)),

@@ -158,6 +158,8 @@ def _queries() -> dict[str, str]:
         "absorb_filtered": f"""{sided}, {_filtered('sf', 'sp', 'rest', 'h', 'sig', 'sig', 96, 16)}
             SELECT a AS idx, b AS core, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM sf) WHERE nth = 1""",
         "nearest_consensus": f"{heads}, {near} SELECT a AS idx, d, b AS core FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM near) WHERE nth = 1",
+        "absorb_resolved": f"""{merged}, {near}, best AS (SELECT a, min(d) AS d FROM near GROUP BY a)
+            SELECT near.a AS idx, min(label) AS label FROM near JOIN best ON best.a = near.a AND best.d = near.d JOIN lab3 ON lab3.idx = b GROUP BY near.a HAVING min(label) = max(label)""",
         "absorb_exact": f"""{merged}, {near}, best AS (SELECT a, min(d) AS d FROM near GROUP BY a)
             SELECT near.a AS idx, min(b) AS core, min(near.d) AS d FROM near JOIN best ON best.a = near.a AND best.d = near.d JOIN lab3 ON lab3.idx = b GROUP BY near.a HAVING min(label) = max(label)""",
     }
