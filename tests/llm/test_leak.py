@@ -2,6 +2,8 @@ import base64
 import quopri
 import random
 
+import numpy as np
+
 from strandloom.llm import leak
 from strandloom.llm.mail import decoded, words
 
@@ -38,7 +40,7 @@ def test_against_brute_force(spark, monkeypatch):
     tests = spark.createDataFrame(items, "item_id long, passage string")
     want = brute(docs, items, 10)
     assert {tuple(r) for r in leak.leaked_pairs(frame, tests, 10).collect()} == want and want
-    monkeypatch.setattr(leak, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(leak, "MOST_WORDS", 60)
     assert {tuple(r) for r in leak.leaked_pairs(frame, tests, 10).collect()} == want
     clean = {r.doc_id for r in leak.without_leaks(frame, tests, 10).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
@@ -51,6 +53,26 @@ def test_longest_match_and_places(spark):
     assert sorted(map(tuple, rows)) == [(1, 7, 6, 11, 0), (1, 7, 8, 1, 0)]
 
 
+def test_suffixes_are_sorted_to_full_depth():
+    rng = random.Random(12)
+    for words_known, n in ((1, 40), (2, 200), (3, 2000), (900, 500)):
+        ids = np.array([rng.randrange(words_known + 1) for _ in range(n)] + [1] * 30 + [0], np.int32)
+        until = lambda at: tuple(ids[at : at + int(np.flatnonzero(ids[at:] == 0)[0])])
+        left = leak.to_next_zero(ids)
+        found = leak.suffix_array(ids, left, words_known.bit_length())
+        assert sorted(found.tolist()) == np.flatnonzero(ids).tolist()
+        assert (texts := [until(at) for at in found]) == sorted(texts)
+
+
+def test_many_items_take_one_pass(spark):
+    rng = random.Random(13)
+    items = [(k, " ".join(str(rng.randrange(10**6)) for _ in range(15))) for k in range(50_000)]
+    docs = spark.createDataFrame([(k, "start " + items[k * 7][1] + " end") for k in range(300)], "doc_id long, text string")
+    pairs = leak.leaked_pairs(docs, spark.createDataFrame(items, "item_id long, passage string"))
+    assert str(pairs._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
+    assert sorted(map(tuple, pairs.collect())) == [(k, k * 7) for k in range(300)]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, passage string")
     assert leak.leaked_pairs(docs, items).collect() == []
