@@ -33,6 +33,8 @@ def pigeonhole_pass(a: str, b: str, tau: int) -> Column:
 
 #: Pairs put side by side; the arrays of one step stay in the processor's cache.
 LANES = 8192
+#: Patterns that meet all texts of a block at once.
+STRIPE = 32
 GRAM, GRAM_BINS = 5, 1024
 
 
@@ -98,11 +100,67 @@ def _lanes(a: Texts, i: np.ndarray, b: Texts, j: np.ndarray, symbols: int) -> np
     return np.where(m == 0, n, score)
 
 
+def _grid_distances(a: Texts, b: Texts, symbols: int) -> np.ndarray:
+    """Distances of every string of one side to every one of the other: the columns of ``_lanes`` for all pairs at once. A
+    pattern's masks are looked up a row at a time, and the score is read off the vertical differences where a text ends."""
+    out = np.empty((len(b.lengths), len(a.lengths)), np.int64)
+    words, one, top = max(1, -(-a.grid.shape[1] // 64)), np.uint64(1), np.uint64(63)
+    ends = np.unique(b.lengths)
+    for start in range(0, len(a.lengths), STRIPE):
+        pattern, m = a.grid[start : start + STRIPE], a.lengths[start : start + STRIPE]
+        masks, lane = np.zeros((symbols + 1, words, len(m)), np.uint64), np.arange(len(m))
+        for k in range(a.grid.shape[1]):
+            masks[pattern[:, k], k // 64, lane] |= one << np.uint64(k % 64)
+        masks[0] = 0
+        inside = np.zeros((words, len(m)), np.uint64)
+        for w in range(words):
+            held = np.clip(m - 64 * w, 0, 64)
+            inside[w] = np.where(held == 64, ~np.uint64(0), (one << np.minimum(held, 63).astype(np.uint64)) - one)
+        shape = (len(b.lengths), len(m))
+        vp, vn = [np.full(shape, ~np.uint64(0)) for _ in range(words)], [np.zeros(shape, np.uint64) for _ in range(words)]
+        eq, x, d0, hp, hn, up = (np.empty(shape, np.uint64) for _ in range(6))
+        for k in range(int(ends[-1]) + 1):
+            if k in ends:
+                rows = np.flatnonzero(b.lengths == k)
+                score = sum(np.bitwise_count(vp[w][rows] & inside[w]).astype(np.int64) - np.bitwise_count(vn[w][rows] & inside[w]) for w in range(words))
+                out[rows, start : start + STRIPE] = k + score
+            if k == b.grid.shape[1]:
+                break
+            for w in range(words):
+                np.take(masks[:, w], b.grid[:, k], axis=0, out=eq, mode="clip")
+                np.bitwise_or(eq, vn[w], out=x)
+                if w:
+                    np.bitwise_or(eq, hn_in, out=eq)
+                np.bitwise_and(eq, vp[w], out=d0)
+                d0 += vp[w]
+                d0 ^= vp[w]
+                d0 |= eq
+                np.bitwise_or(d0, vp[w], out=hp)
+                np.invert(hp, out=hp)
+                hp |= vn[w]
+                np.bitwise_and(d0, vp[w], out=hn)
+                if w < words - 1:
+                    np.right_shift(hp, top, out=up)
+                    hp_out, hn_out = up.copy(), hn >> top
+                np.left_shift(hp, one, out=hp)
+                hp |= hp_in if w else one
+                np.left_shift(hn, one, out=hn)
+                if w:
+                    hn |= hn_in
+                np.bitwise_or(x, hp, out=d0)
+                np.invert(d0, out=d0)
+                np.bitwise_or(hn, d0, out=vp[w])
+                np.bitwise_and(hp, x, out=vn[w])
+                if w < words - 1:
+                    hp_in, hn_in = hp_out, hn_out
+    return out.T
+
+
 def block_distances(left: list[str], right: list[str], limit: int, inner: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, d) of all pairs within ``limit`` edits; ``inner`` takes i < j of one block with itself.
 
     An edit touches ``GRAM`` grams at most, so where a string lacks more than limit x GRAM of the other's, no distance is
-    needed.
+    needed. Where that spares few pairs, all are worked out side by side.
     """
     none = np.empty(0, np.int64)
     if not left or not right:
@@ -110,13 +168,17 @@ def block_distances(left: list[str], right: list[str], limit: int, inner: bool)
     alphabet = _alphabet(left, right)
     a, b = Texts(left, alphabet), Texts(right, alphabet)
     near = np.abs(a.lengths[:, None] - b.lengths[None, :]) <= limit
-    held, other = a.grams(), b.grams()
-    common = held @ other.T
-    near &= (held.sum(1)[:, None] - common <= limit * GRAM) & (other.sum(1)[None, :] - common <= limit * GRAM)
+    if limit * GRAM < max(a.grid.shape[1], b.grid.shape[1]):
+        held, other = a.grams(), b.grams()
+        common = held @ other.T
+        near &= (held.sum(1)[:, None] - common <= limit * GRAM) & (other.sum(1)[None, :] - common <= limit * GRAM)
     if inner:
         near = np.triu(near, 1)
     i, j = np.nonzero(near)
-    d = np.concatenate([none, *(_lanes(a, i[at : at + LANES], b, j[at : at + LANES], len(alphabet)) for at in range(0, len(i), LANES))])
+    if 4 * len(i) >= near.size and max(a.grid.shape[1], b.grid.shape[1]) <= 4096:
+        d = _grid_distances(a, b, len(alphabet))[i, j]
+    else:
+        d = np.concatenate([none, *(_lanes(a, i[at : at + LANES], b, j[at : at + LANES], len(alphabet)) for at in range(0, len(i), LANES))])
     close = d <= limit
     return i[close], j[close], d[close]
 

@@ -171,6 +171,33 @@ def alignment_ops_query(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.explode(alignment_ops("medoid", "read")).alias("op")).groupBy("op.tag", "op.pos").agg(F.count("*").alias("n"))
 
 
+def alignment_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """What the script of each core member against its medoid costs, and the read it makes."""
+    reads, first = _first(spark, d)
+    members = components.cores(first)
+    centres = consensus.medoids(consensus.medoid_sample(members, reads))
+    pairs = members.join(reads.select("idx", "read"), "idx").join(centres.select("core", "medoid"), "core")
+    scripts = pairs.select("idx", alignment_ops("medoid", "read").alias("ops"))
+    cost = F.size(F.filter("ops", lambda op: op["tag"] != "EQ")).alias("cost")
+    return scripts.select("idx", cost, F.array_join(F.transform("ops", lambda op: F.coalesce(op["ch"], F.lit(""))), "").alias("made"))
+
+
+def vote_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """How many more symbols the members of each core insert into its medoid than they delete."""
+    change = F.when(F.col("kind") == "I", F.col("n") * F.length("ch")).when(F.col("kind") == "D", -F.col("n")).otherwise(F.lit(0))
+    return _votes(spark, d).groupBy("core").agg(F.sum(change).alias("surplus"))
+
+
+def vote_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Columns and their votes in each core whose members consist of bases only, so that each member votes in each column."""
+    reads, first = _first(spark, d)
+    members = components.cores(first)
+    pure = members.join(reads.select("idx", "read"), "idx").groupBy("core").agg(F.bool_and(F.col("read").rlike("^[ACGT]+$")).alias("pure")).where("pure").select("core")
+    cast = consensus.votes(members, reads, cut_lineage(consensus.medoids(consensus.medoid_sample(members, reads))))
+    total = F.col("a") + F.col("c") + F.col("g") + F.col("t") + F.col("del")
+    return consensus.column_votes(cast).join(pure, "core").groupBy("core").agg(F.count("*").alias("columns"), F.min(total).alias("least"), F.max(total).alias("most"))
+
+
 def column_votes(spark: SparkSession, d: str) -> DataFrame:
     return consensus.column_votes(_votes(spark, d))
 
@@ -238,6 +265,17 @@ def c_post(spark: SparkSession, d: str) -> DataFrame:
     return absorb.closest_apart(absorb.merge_components(strings, edges, 20), edges, 41)
 
 
+def merge_exact(spark: SparkSession, d: str) -> DataFrame:
+    strings = _heads(spark, d)[2]
+    return absorb.merge_components(strings, calibrate.all_pairs(strings, 20), 20)
+
+
+def merge_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the strings joined by the pairs that keys and signatures propose."""
+    strings = _heads(spark, d)[2]
+    return absorb.merge_components(strings, calibrate.filtered_pairs(strings, 20), 20)
+
+
 def _rest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     reads, first, strings = _heads(spark, d)
     return cut_lineage(reads.join(components.orphans(first), "idx").select("idx", "read")), strings
@@ -282,6 +320,25 @@ def absorb_statistics(spark: SparkSession, d: str) -> DataFrame:
     return absorb.absorb_statistics(*_resolved(spark, d))
 
 
+def assembled(spark: SparkSession, d: str) -> DataFrame:
+    """The final label of every read: by its core, by the string it was absorbed into, or its own."""
+    reads, first, strings = _heads(spark, d)
+    resolved, merged = _resolved(spark, d)
+    return absorb.assemble(reads, components.cores(first), merged, resolved.where("core is not null"))
+
+
+def _core_sink(make: Callable[[DataFrame, DataFrame, pipeline.Clustering], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A sink over the cores and orphans of the first stage, whose labels SQL can make, too."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        lines = cut_lineage(_lines(spark, d))
+        unique = unique_reads(lines)
+        reads, first = pipeline.core_stage(unique, pipeline.Options())
+        return make(lines, unique, pipeline.Clustering(reads, first, reads))
+
+    return query
+
+
 def _sink(make: Callable[[DataFrame, DataFrame, pipeline.Clustering], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         lines = cut_lineage(_lines(spark, d))
@@ -296,6 +353,13 @@ def clusters_approx(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.cluster_sizes(unique, pipeline.cluster(unique, pipeline.Options(approx=True, auto_tau=True)))
 
 
+_SINKS = {
+    "sizes": lambda lines, unique, result: pipeline.cluster_sizes(unique, result),
+    "members": lambda lines, unique, result: pipeline.cluster_members(unique, result),
+    "seq_id": lambda lines, unique, result: pipeline.cluster_ids(lines, unique, result),
+    "tidy": lambda lines, unique, result: pipeline.tidy(lines, unique, result),
+}
+
 QUERIES = {
     "read_input": read_input, "line_numbers": line_numbers, "unique_reads": unique_reads_query, "base_codes": base_codes,
     "anchor_grams": anchor_grams, "anchor_schedule": anchor_schedule, "signatures": signatures, "anchor_keys_first": anchor_keys_first,
@@ -304,15 +368,16 @@ QUERIES = {
     "edit_distance": edit_distance_query, "pigeonhole": pigeonhole, "connected_components": connected_components,
     "cores_orphans": cores_orphans, "core_coverage": core_coverage, "canonical_partition": canonical_partition,
     "partition_differences": partition_differences, "s1_audit": s1_audit, "medoid_sample": medoid_sample, "medoid": medoid,
-    "alignment_ops": alignment_ops_query, "column_votes": column_votes, "insertion_votes": insertion_votes, "consensus": consensus_query,
+    "alignment_ops": alignment_ops_query, "alignment_scripts": alignment_scripts, "vote_lengths": vote_lengths, "vote_totals": vote_totals,
+    "column_votes": column_votes, "insertion_votes": insertion_votes, "consensus": consensus_query,
     "consensus_pairs": consensus_pairs, "dmax": dmax, "distance_histogram": distance_histogram, "histogram_dense": histogram_dense,
     "ceiling": ceiling, "filtered_histogram": filtered_histogram, "auto_tau": auto_tau, "c_post": c_post,
+    "merge_exact": merge_exact, "merge_filtered": merge_filtered, "assembled": assembled,
     "absorb_candidates": absorb_candidates, "absorb_filtered": absorb_filtered, "nearest_consensus": nearest_consensus,
     "absorb_exact": absorb_exact, "absorb_resolved": absorb_resolved, "absorb_statistics": absorb_statistics,
-    "clusters_default": _sink(lambda lines, unique, result: pipeline.cluster_sizes(unique, result)),
-    "clusters_members": _sink(lambda lines, unique, result: pipeline.cluster_members(unique, result)),
-    "clusters_seq_id": _sink(lambda lines, unique, result: pipeline.cluster_ids(lines, unique, result)),
-    "clusters_tidy": _sink(lambda lines, unique, result: pipeline.tidy(lines, unique, result)),
+    "clusters_default": _sink(_SINKS["sizes"]), "clusters_members": _sink(_SINKS["members"]),
+    "clusters_seq_id": _sink(_SINKS["seq_id"]), "clusters_tidy": _sink(_SINKS["tidy"]),
+    **{f"cores_{name}": _core_sink(make) for name, make in _SINKS.items()},
     "clusters_approx": clusters_approx,
 }
 

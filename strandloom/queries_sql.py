@@ -107,6 +107,12 @@ def _queries() -> dict[str, str]:
     near = "near AS MATERIALIZED (SELECT a, b, CAST(d AS INT) AS d FROM (SELECT x.idx AS a, y.idx AS b, apart(x.read, y.read) AS d FROM rest x JOIN h y ON abs(length(x.read) - length(y.read)) <= 16) WHERE d <= 16)"
     single = f"{labels}, {_keys('k1', 'g4', 64, 1)}, {_bucket_pairs('p1', 'k1')}, {_filtered('edges1', 'p1', 'u', 'u', 'sig', 'sig', 60, 8)}, {_reach('lab1', 'u', 'edges1')}"
     signed = ", ".join(f"CASE WHEN s{b} >= 9223372036854775808 THEN CAST(CAST(s{b} AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(s{b} AS BIGINT) END AS s{b}" for b in range(6))
+    medoid = f"""{sample}, md AS (SELECT x.core, x.idx, x.read, CAST(sum(apart(x.read, y.read)) AS BIGINT) AS total FROM sample x JOIN sample y ON x.core = y.core AND x.idx <> y.idx GROUP BY 1, 2, 3),
+        med AS MATERIALIZED (SELECT core, read AS medoid, total FROM (SELECT *, row_number() OVER (PARTITION BY core ORDER BY total, idx) AS nth FROM md) WHERE nth = 1),
+        mem AS MATERIALIZED (SELECT core, medoid, u.idx, u.read FROM lab JOIN med ON med.core = lab.label JOIN u ON u.idx = lab.idx)"""
+    resolved = f"""{merged}, {near}, best AS (SELECT a, min(d) AS d FROM near GROUP BY a),
+        res AS (SELECT near.a AS idx, min(label) AS label FROM near JOIN best ON best.a = near.a AND best.d = near.d JOIN lab3 ON lab3.idx = b GROUP BY near.a HAVING min(label) = max(label))"""
+    sinks = f"{labels}, named AS (SELECT x.idx, x.read, x.cnt, c.read AS centroid FROM lab JOIN u x ON x.idx = lab.idx JOIN u c ON c.idx = lab.label), numbered AS (SELECT row_number() OVER (ORDER BY line_no) AS line_no, read FROM parsed)"
     after = f"{reads}, nb AS (SELECT x.idx, x.read AS x, y.read AS y FROM u x JOIN u y ON y.idx = x.idx + 1)"
     return {
         "read_input": f"{lines} SELECT line_no, read, cnt FROM parsed",
@@ -140,8 +146,19 @@ def _queries() -> dict[str, str]:
             SELECT CAST(200 AS BIGINT) AS sampled, count(*) AS neighbours, count(*) FILTER (WHERE p.label <> q.label) AS cross, count(DISTINCT CASE WHEN p.label <> q.label THEN i END) AS reads_with_cross
             FROM nbr JOIN lab p ON p.idx = i JOIN lab q ON q.idx = j""".replace(" AS cross,", ' AS "cross",'),
         "medoid_sample": f"{sample} SELECT core, idx, read FROM sample",
-        "medoid": f"""{sample}, md AS (SELECT x.core, x.idx, x.read, CAST(sum(apart(x.read, y.read)) AS BIGINT) AS total FROM sample x JOIN sample y ON x.core = y.core AND x.idx <> y.idx GROUP BY 1, 2, 3)
-            SELECT core, read AS medoid, total FROM (SELECT *, row_number() OVER (PARTITION BY core ORDER BY total, idx) AS nth FROM md) WHERE nth = 1""",
+        "medoid": f"{medoid} SELECT core, medoid, total FROM med",
+        "alignment_scripts": f"{medoid} SELECT idx, CAST(apart(medoid, read) AS INT) AS cost, read AS made FROM mem",
+        "vote_lengths": f"{medoid} SELECT core, CAST(sum(length(read) - length(medoid)) AS BIGINT) AS surplus FROM mem GROUP BY core",
+        "vote_totals": f"""{medoid} SELECT core, CAST(max(length(medoid)) AS BIGINT) AS "columns", count(*) AS least, count(*) AS most FROM mem
+            GROUP BY core HAVING bool_and(regexp_full_match(read, '[ACGT]+'))""",
+        "merge_exact": f"{merged} SELECT idx, label FROM lab3",
+        "merge_filtered": f"{filtered}, low AS (SELECT a, b FROM hf WHERE d <= 20), {_reach('labf', 'h', 'low')} SELECT idx, label FROM labf",
+        "assembled": f"{resolved} SELECT lab.idx, coalesce(c.label, res.label, lab.idx) AS label FROM lab LEFT JOIN lab3 c ON c.idx = lab.label LEFT JOIN res ON res.idx = lab.idx",
+        "cores_sizes": f"{sinks} SELECT centroid, CAST(sum(cnt) AS BIGINT) AS size FROM named GROUP BY centroid",
+        "cores_members": f"{sinks} SELECT centroid, CAST(sum(cnt) AS BIGINT) AS size, string_agg(read, ',' ORDER BY read) AS members FROM named GROUP BY centroid",
+        "cores_seq_id": f"""{sinks}, ids AS (SELECT centroid, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS ids FROM numbered JOIN named USING (read) GROUP BY centroid)
+            SELECT centroid, CAST(sum(cnt) AS BIGINT) AS size, centroid AS members, any_value(ids) AS ids FROM named JOIN ids USING (centroid) GROUP BY centroid""",
+        "cores_tidy": f"{sinks} SELECT line_no, read, centroid FROM numbered JOIN named USING (read)",
         "consensus_pairs": f"{exact} SELECT a, b, d FROM hp WHERE d <= 41",
         "dmax": f"{limit} SELECT dmax FROM lim",
         "distance_histogram": f"{exact} SELECT d, count(*) AS pairs FROM hp GROUP BY d",
@@ -158,8 +175,7 @@ def _queries() -> dict[str, str]:
         "absorb_filtered": f"""{sided}, {_filtered('sf', 'sp', 'rest', 'h', 'sig', 'sig', 96, 16)}
             SELECT a AS idx, b AS core, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM sf) WHERE nth = 1""",
         "nearest_consensus": f"{heads}, {near} SELECT a AS idx, d, b AS core FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM near) WHERE nth = 1",
-        "absorb_resolved": f"""{merged}, {near}, best AS (SELECT a, min(d) AS d FROM near GROUP BY a)
-            SELECT near.a AS idx, min(label) AS label FROM near JOIN best ON best.a = near.a AND best.d = near.d JOIN lab3 ON lab3.idx = b GROUP BY near.a HAVING min(label) = max(label)""",
+        "absorb_resolved": f"{resolved} SELECT idx, label FROM res",
         "absorb_exact": f"""{merged}, {near}, best AS (SELECT a, min(d) AS d FROM near GROUP BY a)
             SELECT near.a AS idx, min(b) AS core, min(near.d) AS d FROM near JOIN best ON best.a = near.a AND best.d = near.d JOIN lab3 ON lab3.idx = b GROUP BY near.a HAVING min(label) = max(label)""",
     }
