@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from strandloom.operators.skew import ordered_positions
 from strandloom.session import cut_lineage
 
+#: Rounds are about the square of the logarithm of a component's size; twice what any table can need.
+MOST_ROUNDS = 200
+
 
 def _largest(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the smallest of itself and its neighbours."""
@@ -36,12 +39,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     current = cut_lineage(links)
     before = None
-    while True:
+    for _ in range(MOST_ROUNDS):
         current = cut_lineage(_smallest(_largest(current)))
         state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components not settled after {MOST_ROUNDS} rounds")
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 

@@ -53,10 +53,11 @@ def votes(cores: DataFrame, reads: DataFrame, centres: DataFrame) -> DataFrame:
             plain = pd.DataFrame({"core": core, "pos": pos, "kind": np.where(tag == DEL, "D", "B"), "ch": ch})[base | (tag == DEL)]
             plain = plain.groupby(["core", "pos", "kind", "ch"], as_index=False).size()
             plain["ch"] = [chr(c) if c else "" for c in plain["ch"]]
-            texts: dict[tuple[int, int], list[str]] = {}
-            for k in np.flatnonzero(tag == INS).tolist():  # what one pair inserts before one place is one text
-                texts.setdefault((int(pair[k]), int(pos[k])), []).append(chr(ch[k]))
-            inserted = pd.DataFrame([(batch["core"].iloc[k], p, "I", "".join(t)) for (k, p), t in texts.items()], columns=["core", "pos", "kind", "ch"])
+            at = np.flatnonzero(tag == INS)  # what one pair inserts before one place is one text
+            new = np.flatnonzero(np.r_[True, (pair[at][1:] != pair[at][:-1]) | (pos[at][1:] != pos[at][:-1])]) if len(at) else at
+            letters = "".join(map(chr, ch[at].tolist()))
+            texts = [letters[x:y] for x, y in zip(new.tolist(), [*new[1:].tolist(), len(letters)])]
+            inserted = pd.DataFrame({"core": core[at[new]], "pos": pos[at[new]], "kind": "I", "ch": texts})
             yield pd.concat([plain, inserted.groupby(["core", "pos", "kind", "ch"], as_index=False).size()]).rename(columns={"size": "n"})
 
     return members.mapInPandas(cast, "core long, pos int, kind string, ch string, n long").groupBy("core", "pos", "kind", "ch").agg(F.sum("n").alias("n"))

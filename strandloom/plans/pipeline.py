@@ -18,7 +18,8 @@ log = logging.getLogger(__name__)
 @dataclass
 class Options:
     """Thresholds and modes; ``validate`` raises ValueError for values outside their domain. ``bucket_cap`` is the reference's
-    limit to the keys of a bucket; with None no bucket is dropped, so that no result depends on the size of the input."""
+    limit to the keys of a bucket; with None no bucket is dropped, so that no result depends on the size of the input. With
+    ``stage_log`` the figures of each stage are counted, logged as it ends and kept in ``Clustering.stages``."""
 
     tau_core: int = 8
     tau_abs: int = 16
@@ -29,6 +30,7 @@ class Options:
     exact_max: int = calibrate.EXACT_MAX
     bucket_cap: int | None = candidates.BUCKET_CAP
     audit_sample: int = 0
+    stage_log: bool = False
     auto_tau: bool = False
     approx: bool = False
 
@@ -50,6 +52,12 @@ class Clustering:
     strings: DataFrame
     histogram: DataFrame | None = None
     metrics: dict = field(default_factory=dict)
+    stages: list[dict] = field(default_factory=list)
+
+    def say(self, stage: str, **figures) -> None:
+        """A line of the stage log."""
+        self.stages.append({"stage": stage, **figures})
+        log.info("%s: %s", stage, figures)
 
 
 def core_stage(unique: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
@@ -77,6 +85,10 @@ def cluster(unique: DataFrame, options: Options | None = None) -> Clustering:
     strings = consensus_stage(reads, first)
     count = strings.count()
     result = Clustering(reads, first, strings, metrics={"strings": count})
+    if options.stage_log:
+        result.say("input", distinct=reads.count())
+        result.say("cores", tau=options.tau_core, **components.coverage(first).first().asDict())
+        result.say("consensus", **strings.agg(F.count("*").alias("strings"), F.count_if(F.col("read") == F.col("medoid")).alias("as_medoid")).first().asDict())
     if options.audit_sample:
         result.metrics["audit"] = absorb.audit(reads, first, options.tau_core, options.audit_sample).first().asDict()
     tau_abs, tau_cons = options.tau_abs, options.tau_cons
@@ -112,6 +124,11 @@ def cluster(unique: DataFrame, options: Options | None = None) -> Clustering:
         result.metrics["mode"] = "filtered"
     result.labels = cut_lineage(absorb.assemble(reads, members, merged, taken))
     result.metrics |= {"tau_abs": tau_abs, "tau_cons": tau_cons}
+    if options.stage_log:
+        result.say("thresholds", tau_abs=tau_abs, tau_cons=tau_cons, **{k: result.metrics[k] for k in ("mode", "limit", "ceiling", "kind", "keep", "c_post") if k in result.metrics})
+        result.say("merge", components=merged.select("label").distinct().count())
+        result.say("absorb", **result.metrics.get("absorbed", {"absorbed": taken.count()}))
+        result.say("clusters", clusters=result.labels.select("label").distinct().count())
     log.info("clustering: %s", result.metrics)
     return result
 

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandloom.functions import encode
-from strandloom.functions.distance import align, block_distances, distances, edit_distance, exact_distance, pigeonhole_pass
+from strandloom.functions.distance import align, block_distances, distances, distances_within, edit_distance, exact_distance, pigeonhole_pass
 from strandloom.operators.calibrate import ceiling_below_peak, safe_tau
 
 WORD = st.text("ACGTNa", max_size=30)
@@ -27,10 +27,20 @@ def lev(a, b):
 def test_distances_are_exact(pairs):
     left, right = [a for a, _ in pairs], [b for _, b in pairs]
     assert distances(left, right).tolist() == [lev(a, b) for a, b in pairs]
+    for cutoff in (0, 2, 8):
+        assert distances_within(left, right, cutoff).tolist() == [min(lev(a, b), cutoff + 1) for a, b in pairs]
     i, j, d = block_distances(left, right, 5, False)
     assert dict(zip(zip(i.tolist(), j.tolist()), d.tolist())) == {(x, y): v for x, a in enumerate(left) for y, b in enumerate(right) if (v := lev(a, b)) <= 5}
 
 
+def test_whole_blocks_of_long_strings():
+    rng = random.Random(4)
+    for lengths in ((0, 1, 63), (60, 64, 65), (127, 128, 129), (300, 2)):
+        left, right = (["".join(rng.choice("ACGTNx") for _ in range(rng.choice(lengths))) for _ in range(40)] for _ in range(2))
+        i, j, d = block_distances(left, right, 1000, False)
+        assert len(i) == 1600 and d.tolist() == distances([left[k] for k in i], [right[k] for k in j]).tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(WORD, WORD)
 def test_alignment_costs_the_distance_and_rebuilds(a, b):

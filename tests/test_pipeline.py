@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from strandloom.operators import absorb, candidates, components, consensus
+from strandloom.operators import absorb, calibrate, candidates, components, consensus
 from strandloom.plans import pipeline
 from strandloom.session import cut_lineage
 from strandloom.sources.reads import index_reads, parse_lines, number_lines, read_text, unique_reads
@@ -24,7 +25,7 @@ def test_line_edge_cases(spark):
 def test_smoke(spark):
     lines = lines_of(spark, SMOKE)
     unique = unique_reads(lines)
-    result = pipeline.cluster(unique, pipeline.Options(audit_sample=3))
+    result = pipeline.cluster(unique, pipeline.Options(audit_sample=3, stage_log=True))
     sizes = sorted(map(tuple, pipeline.cluster_sizes(unique, result).collect()))
     assert sizes == [("AAAACCCCGGGGTTTA", 5), ("GATTACAGATTACAGA", 4), ("TTTTGGGGCCCCAAAA", 6)]
     members = {r.centroid: r.members for r in pipeline.cluster_members(unique, result).collect()}
@@ -35,6 +36,9 @@ def test_smoke(spark):
     assert strings == [("AAAACCCCGGGGTTTA", 2), ("TTTTGGGGCCCCAAAA", 2)]
     assert (result.metrics["ceiling"], result.metrics["tau_abs"], result.metrics["tau_cons"], result.metrics["keep"]) == (9, 6, 6, 8)
     assert result.metrics["audit"]["cross"] == 0
+    stages = {x["stage"]: x for x in result.stages}
+    assert list(stages) == ["input", "cores", "consensus", "thresholds", "merge", "absorb", "clusters"]
+    assert stages["input"]["distinct"] == 5 and stages["cores"]["core_count"] == 2 and stages["merge"]["components"] == 2 and stages["clusters"]["clusters"] == 3
 
 
 def noisy(seed):
@@ -149,17 +153,59 @@ def test_index_follows_binary_order(spark):
 
 
 def test_stream(spark, tmp_path):
-    from strandloom.streaming.incremental import count_stream, read_stream
+    from strandloom.streaming.incremental import compact, count_stream, counts_so_far, read_stream
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("ACGT\t2\nTT\n")
-    query = count_stream(read_stream(spark, str(tmp_path / "in")), str(tmp_path / "state"), "arrived")
+    (tmp_path / "in" / "a.txt").write_text("ACGT\t2\nTT\nACGT\n")
+    parts = str(tmp_path / "parts")
+    query = count_stream(read_stream(spark, str(tmp_path / "in")), str(tmp_path / "state"), parts)
     query.processAllAvailable()
     (tmp_path / "in" / "b.txt").write_text("ACGT\t5\n")
     query.processAllAvailable()
-    rows = sorted((r.read, r.cnt) for r in spark.table("arrived").collect())
     query.stop()
-    assert rows == [("ACGT", 7), ("TT", 1)]
+    want = [("ACGT", 4, 8), ("TT", 2, 1)]
+    assert sorted(map(tuple, counts_so_far(spark, parts).collect())) == want
+    compact(spark, parts, str(tmp_path / "one"))
+    assert sorted(map(tuple, counts_so_far(spark, str(tmp_path / "one")).collect())) == want
+
+
+def edited(rng, s, edits):
+    s = list(s)
+    for _ in range(edits):
+        at = rng.randrange(len(s))
+        s[at : at + 1] = [[], [rng.choice("ACGT")], [s[at], rng.choice("ACGT")]][rng.randrange(3)]
+    return "".join(s)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_proof_and_neighbours_give_what_the_full_search_gives(spark, seed):
+    rng = random.Random(seed)
+    origins = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(12)]
+    # families whose members lie 6 to 14 edits apart, so that some components are near each other
+    strings = [(k, edited(rng, origins[k % 12], 3 + k % 5)) for k in range(48)]
+    rest = [(1000 + k, edited(rng, rng.choice(strings)[1], rng.randrange(12))) for k in range(150)] + [(2000 + k, "".join(rng.choice("ACGT") for _ in range(40))) for k in range(20)]
+    strings, rest = spark.createDataFrame(strings, "idx long, read string"), spark.createDataFrame(rest, "idx long, read string")
+    tau, seen = 8, set()
+    for keep, tau_cons in ((20, 4), (20, 8), (11, 6)):
+        edges = calibrate.all_pairs(strings, keep).select("a", "b", "d")
+        merged = absorb.merge_components(strings, edges, tau_cons)
+        c_post = absorb.closest_apart(merged, edges, keep).first()[0]
+        resolved = absorb.resolve(rest, strings, edges, merged, c_post, keep, tau)
+        label = merged.select(F.col("idx").alias("core"), "label")
+        labels = lambda rows: {(r[0], r[1]) for r in rows.join(label, "core").select("idx", "label").collect()}
+        near = absorb.near_strings(rest, strings, tau)
+        full = absorb.absorb_exact(near, merged)
+        assert labels(resolved) == labels(full)
+        stats = absorb.absorb_statistics(resolved, merged).first().asDict()
+        assert stats["fast"] + stats["local"] + stats["full"] == 170 and stats["absorbed"] == full.count()
+        assert stats["tie_rejected"] == near.select("a").distinct().count() - full.count()
+        seen |= {k for k in ("fast", "local", "full") if stats[k]}
+    assert seen == {"fast", "local", "full"}
+
+
+def test_all_pairs_are_bounded(spark):
+    with pytest.raises(ValueError):
+        calibrate.all_pairs(spark.createDataFrame([(0, "A"), (1, "C"), (2, "G")], "idx long, read string"), 4, most=2)
 
 
 def test_oversized_buckets_without_a_cap(spark):
