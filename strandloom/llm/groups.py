@@ -19,23 +19,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.hashing import mix
 from strandloom.session import cut_lineage
 
 #: Links that one task may hold at once.
 BOUND = 1_000_000
+#: Levels of forests; each leaves a fraction of the links, so no table needs as many.
+MOST_LEVELS = 100
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return (x ^ (x >> np.uint64(33))).astype(np.int64)
+def _order(x: np.ndarray, seed: int) -> np.ndarray:
+    return mix(x ^ np.int64(seed * 7919)).view(np.int64)
 
 
 def union_find(u: np.ndarray, v: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, root of each): roots are the nodes of least hash in their component."""
     nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-    order = np.argsort(_mix(nodes ^ np.int64(seed * 7919)), kind="stable")
+    order = np.argsort(_order(nodes, seed), kind="stable")
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
     a, b = rank[ends[: len(u)]], rank[ends[len(u) :]]
@@ -69,7 +69,7 @@ def forests(links: DataFrame, seed: int) -> DataFrame:
                 held, size = [], 0
         if held:
             nodes, roots = fold()
-        prio = _mix(roots ^ np.int64(seed * 7919))
+        prio = _order(roots, seed)
         for at in range(0, len(nodes), 65536):
             cut = slice(at, at + 65536)
             yield pa.RecordBatch.from_pydict({"node": nodes[cut], "root": roots[cut], "prio": prio[cut]})
@@ -93,6 +93,8 @@ def link_groups(links: DataFrame, a: str = "a", b: str = "b", bound: int = BOUND
             .select(F.least("root", "picked").alias("u"), F.greatest("root", "picked").alias("v")).distinct()
         )
         count, seed = current.count(), seed + 1
+        if seed > MOST_LEVELS:
+            raise RuntimeError(f"{count} links left after {MOST_LEVELS} levels")
     groups = picks.pop()
     while picks:
         deeper = groups.select(F.col("node").alias("picked"), F.col("picked").alias("deep"))
