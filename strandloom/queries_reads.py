@@ -83,6 +83,12 @@ def candidate_pairs_multi(spark: SparkSession, d: str) -> DataFrame:
     return candidates.bucket_pairs(keys).groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("pairs"))
 
 
+def candidate_partners(spark: SparkSession, d: str) -> DataFrame:
+    """Of each read, how many larger ones the keys propose, how often, and the sum of their indices."""
+    pairs = candidates.bucket_pairs(encode.anchor_keys(_reads(spark, d), candidates.CORE_ROUNDS, 4)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return pairs.groupBy("a").agg(F.count("*").alias("partners"), F.sum("n").alias("times"), F.sum("b").alias("indices"))
+
+
 def signature_hamming(spark: SparkSession, d: str) -> DataFrame:
     """Differing signature bits over all single-occurrence candidates."""
     reads = _reads(spark, d)
@@ -363,7 +369,7 @@ _SINKS = {
 QUERIES = {
     "read_input": read_input, "line_numbers": line_numbers, "unique_reads": unique_reads_query, "base_codes": base_codes,
     "anchor_grams": anchor_grams, "anchor_schedule": anchor_schedule, "signatures": signatures, "anchor_keys_first": anchor_keys_first,
-    "anchor_keys_multi": anchor_keys_multi, "candidate_pairs": candidate_pairs, "candidate_pairs_multi": candidate_pairs_multi,
+    "anchor_keys_multi": anchor_keys_multi, "candidate_pairs": candidate_pairs, "candidate_pairs_multi": candidate_pairs_multi, "candidate_partners": candidate_partners,
     "signature_hamming": signature_hamming, "core_edges": core_edges, "s1_work_counters": s1_work_counters,
     "edit_distance": edit_distance_query, "pigeonhole": pigeonhole, "connected_components": connected_components,
     "cores_orphans": cores_orphans, "core_coverage": core_coverage, "canonical_partition": canonical_partition,

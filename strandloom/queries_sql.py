@@ -126,6 +126,7 @@ def _queries() -> dict[str, str]:
         "anchor_keys_multi": f"{multi} SELECT idx, it, pos, key FROM k4",
         "candidate_pairs": f"{first}, {_bucket_pairs('p1', 'k1')} SELECT n, count(*) AS pairs FROM (SELECT a, b, count(*) AS n FROM p1 GROUP BY a, b) GROUP BY n",
         "candidate_pairs_multi": f"{pairs} SELECT n, count(*) AS pairs FROM (SELECT a, b, count(*) AS n FROM p4 GROUP BY a, b) GROUP BY n",
+        "candidate_partners": f"{pairs} SELECT a, count(*) AS partners, CAST(sum(n) AS BIGINT) AS times, CAST(sum(b) AS BIGINT) AS indices FROM (SELECT a, b, count(*) AS n FROM p4 GROUP BY a, b) GROUP BY a",
         "signature_hamming": f"{first}, {_bucket_pairs('p1', 'k1')}, {sigs} SELECT CAST({_BITS} AS INT) AS bits, count(*) AS pairs FROM (SELECT DISTINCT a, b FROM p1) LEFT JOIN sig x ON x.idx = a LEFT JOIN sig y ON y.idx = b GROUP BY 1",
         "core_edges": f"{edges} SELECT a, b, d FROM edges",
         "s1_work_counters": f"""{pairs}, {sigs}, seen AS (SELECT a, b, n, {_BITS} <= 60 AS ok FROM (SELECT a, b, count(*) AS n FROM p4 GROUP BY a, b) LEFT JOIN sig x ON x.idx = a LEFT JOIN sig y ON y.idx = b)
