@@ -38,13 +38,13 @@ BINS_BITS, MOST_BITS = 18, 22
 OVER_AVERAGE = 4
 #: Signatures a text draws for, and the draws it may take: edits that gather in the cold part of a text leave few of its
 #: signatures, and few groups fill there in a draw.
-ENOUGH, MOST_DRAWS = 40, 32
+ENOUGH, MOST_DRAWS = 44, 48
 #: Parts of a group; a signature leaves out one.
 SUBSETS = 3
 #: Groups for a character of a band: the more there are, the fewer grams a signature holds, and the likelier it survives.
-GROUPS = 2
+GROUPS = 4
 #: Signatures a group gives in a draw, for random texts: a measured figure.
-FILLED = 0.13
+FILLED = 0.04
 MIN_SPAN = 8
 #: Characters worked on at a time, so that the arrays of a step stay in the processor's cache.
 PIECE_CHARS = 100_000
