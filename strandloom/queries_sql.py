@@ -101,9 +101,12 @@ def _queries() -> dict[str, str]:
           SELECT a, b FROM (SELECT DISTINCT a, b FROM hb) p LEFT JOIN sig x ON x.idx = a LEFT JOIN sig y ON y.idx = b WHERE {_BITS} <= 96)
           JOIN h l ON l.idx = a JOIN h r ON r.idx = b) WHERE abs(length(lr) - length(rr)) <= (SELECT dmax FROM lim) AND d <= (SELECT dmax FROM lim))"""
     merged = f"{exact}, near_edges AS (SELECT a, b FROM hp WHERE d <= 20), {_reach('lab3', 'h', 'near_edges')}"
-    sides = f"{heads}, {_grams('rg4', 'rest', 4)}, {_keys('rk', 'rg4', 96, 4)}, {_grams('hg4', 'h', 4)}, {_keys('hk4', 'hg4', 96, 4)}"
-    sided = f"""{sides}, both_sides AS (SELECT it, key FROM (SELECT it, key FROM rk UNION ALL SELECT it, key FROM hk4) GROUP BY it, key HAVING count(*) BETWEEN 2 AND 4096),
+    both = f"""{_grams('rg4', 'rest', 4)}, {_keys('rk', 'rg4', 96, 4)}, {_grams('hg4', 'h', 4)}, {_keys('hk4', 'hg4', 96, 4)}, both_sides AS (SELECT it, key FROM (SELECT it, key FROM rk UNION ALL SELECT it, key FROM hk4) GROUP BY it, key HAVING count(*) BETWEEN 2 AND 4096),
         sp AS MATERIALIZED (SELECT x.idx AS a, y.idx AS b FROM rk x JOIN hk4 y USING (it, key) JOIN both_sides USING (it, key))"""
+    sided = f"{heads}, {both}"
+    proposed = f"""{_filtered('sf', 'sp', 'rest', 'h', 'sig', 'sig', 96, 16)},
+        prop AS (SELECT a AS idx, b AS core, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM sf) WHERE nth = 1)"""
+    closest = "coalesce((SELECT min(d) FROM hp JOIN lab3 x ON x.idx = a JOIN lab3 y ON y.idx = b WHERE x.label <> y.label AND d <= 41), 42)"
     near = "near AS MATERIALIZED (SELECT a, b, CAST(d AS INT) AS d FROM (SELECT x.idx AS a, y.idx AS b, apart(x.read, y.read) AS d FROM rest x JOIN h y ON abs(length(x.read) - length(y.read)) <= 16) WHERE d <= 16)"
     single = f"{labels}, {_keys('k1', 'g4', 64, 1)}, {_bucket_pairs('p1', 'k1')}, {_filtered('edges1', 'p1', 'u', 'u', 'sig', 'sig', 60, 8)}, {_reach('lab1', 'u', 'edges1')}"
     signed = ", ".join(f"CASE WHEN s{b} >= 9223372036854775808 THEN CAST(CAST(s{b} AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(s{b} AS BIGINT) END AS s{b}" for b in range(6))
@@ -170,11 +173,16 @@ def _queries() -> dict[str, str]:
         "filtered_histogram": f"{filtered}, {dense('hf')} SELECT d, pairs FROM hist",
         "auto_tau": f"""{filtered}, {dense('hf')}, {top} SELECT CAST(kind AS INT) AS kind, CAST(coalesce(ceiling, -1) AS INT) AS ceiling,
             CAST(CASE WHEN kind = 0 THEN 0 ELSE least(greatest(2, CAST(floor((ceiling - 1) * CAST(0.75 AS DOUBLE)) AS INT)), ceiling - 1) END AS INT) AS tau FROM found""",
-        "c_post": f"""{merged} SELECT CAST(coalesce((SELECT min(d) FROM hp JOIN lab3 x ON x.idx = a JOIN lab3 y ON y.idx = b WHERE x.label <> y.label AND d <= 41), 42) AS INT) AS c_post,
+        "c_post": f"""{merged} SELECT CAST({closest} AS INT) AS c_post,
             (SELECT count(DISTINCT label) FROM lab3) AS components, (SELECT count(*) - count(DISTINCT label) FROM lab3) AS unions""",
         "absorb_candidates": f"{sided} SELECT a AS idx, count(*) AS proposals, count(DISTINCT b) AS strings FROM sp GROUP BY a",
-        "absorb_filtered": f"""{sided}, {_filtered('sf', 'sp', 'rest', 'h', 'sig', 'sig', 96, 16)}
-            SELECT a AS idx, b AS core, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM sf) WHERE nth = 1""",
+        "absorb_filtered": f"{sided}, {proposed} SELECT idx, core, d FROM prop",
+        "absorb_statistics": f"""{resolved}, {both}, {proposed}, ways AS (SELECT rest.idx, w.label AS was,
+              CASE WHEN 2 * d < {closest} THEN 'fast' WHEN d + 16 <= 41 THEN 'local' ELSE 'full' END AS way FROM rest LEFT JOIN prop USING (idx) LEFT JOIN lab3 w ON w.idx = core),
+            seen AS (SELECT ways.idx, way, was, CASE WHEN way = 'fast' THEN was ELSE res.label END AS now, n.a IS NOT NULL AS met FROM ways LEFT JOIN res ON res.idx = ways.idx LEFT JOIN (SELECT DISTINCT a FROM near) n ON n.a = ways.idx)
+            SELECT count(*) FILTER (WHERE way = 'fast') AS fast, count(*) FILTER (WHERE way = 'local') AS "local", count(*) FILTER (WHERE way = 'full') AS "full",
+              count(*) FILTER (WHERE way <> 'fast' AND was <> now) AS moved, count(*) FILTER (WHERE way <> 'fast' AND was IS NULL AND now IS NOT NULL) AS added,
+              count(*) FILTER (WHERE way <> 'fast' AND met AND now IS NULL) AS tie_rejected, count(now) AS absorbed FROM seen""",
         "nearest_consensus": f"{heads}, {near} SELECT a AS idx, d, b AS core FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM near) WHERE nth = 1",
         "absorb_resolved": f"{resolved} SELECT idx, label FROM res",
         "absorb_exact": f"""{merged}, {near}, best AS (SELECT a, min(d) AS d FROM near GROUP BY a)
