@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.distance import distances_within
 from strandloom.llm.hashing import from_planes, mix, pack_texts, planes, unpack_texts
-from strandloom.session import MOST_PARTITIONS, cut_lineage, partitions_for
+from strandloom.session import cut_lineage, partitions_for
 
 #: Bins that grams are counted in, as a power of two, for texts of about 100 characters; longer ones get more, up to the second.
 BINS_BITS, MOST_BITS = 18, 22
@@ -59,6 +59,8 @@ SLICE = 2048
 COUNTED, SAMPLED, MOST_LARGE = 20_000, 64, 200_000
 #: Entries a batch repeats for slices before it sends them.
 REPEATED = 2_000_000
+#: Pairs of a task among which repeated ones are dropped.
+HELD = 2_000_000
 _SIGNATURE = "bucket long, sigs binary, ids binary"
 #: Bits of a packed signature that hold where it begins, in steps of two places modulo 128, and how far it reaches, in steps
 #: of four modulo 128; what lies farther apart than the edits can move it is no pair of this signature.
@@ -318,8 +320,29 @@ def bucket_pairs(codes: np.ndarray, ids: np.ndarray, slack: int) -> tuple[np.nda
     return known[pairs >> 32], known[pairs & 0xFFFFFFFF]
 
 
-def candidate_pairs(texts: DataFrame, hot: np.ndarray, q: int, slack: int, buckets: int, large: Slices) -> DataFrame:
-    """(a, b), a < b: pairs of ids that share a signature, each once for every group they meet in."""
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different pairs of some groups, before any are shuffled."""
+    held, size = [], 0
+
+    def different() -> pa.RecordBatch:
+        a, b = (np.concatenate([h.column(k).to_numpy() for h in held]) for k in (0, 1))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= HELD:
+            yield different()
+            held, size = [], 0
+    if size:
+        yield different()
+
+
+def candidate_pairs(texts: DataFrame, hot: np.ndarray, q: int, slack: int, buckets: int, large: Slices, parts: int) -> DataFrame:
+    """(a, b), a < b: pairs of ids that share a signature, about once for every task they meet in."""
     shared = texts.sparkSession.sparkContext.broadcast(large)
 
     def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -328,7 +351,7 @@ def candidate_pairs(texts: DataFrame, hot: np.ndarray, q: int, slack: int, bucke
         own = shared.value.first_met(key[0].as_py(), a, b)
         return pa.table({"a": a[own], "b": b[own]})
 
-    return _emit(texts, hot, q, slack, buckets, large).repartition(min(buckets, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return _emit(texts, hot, q, slack, buckets, large).repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long").mapInArrow(_once, "a long, b long")
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, edits: int = 8, q: int = 8, hot_share: float = 0.01, hot_least: int = 50, size: int = SLICE) -> DataFrame:
@@ -344,7 +367,7 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, edits: int = 8, q: int
     hot = hot_bins(texts, q, max(hot_share * known, hot_least, OVER_AVERAGE * known * length / 2**bits), bits, known)
     buckets = max(parts, int(known * ENOUGH * 1.2 / ENTRIES_PER_BUCKET))
     large = large_signatures(texts, hot, q, edits, buckets, known, size)
-    pairs = candidate_pairs(texts, hot, q, edits, buckets, large).repartition(parts, "a").dropDuplicates(["a", "b"])
+    pairs = candidate_pairs(texts, hot, q, edits, buckets, large, parts).repartition(parts, "a").dropDuplicates(["a", "b"])
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

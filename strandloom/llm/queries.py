@@ -110,10 +110,25 @@ e AS (SELECT u, v FROM l WHERE u <> v UNION SELECT v, u FROM l WHERE u <> v),
 r(node, seen) AS (SELECT u, u FROM e UNION SELECT e.v, r.seen FROM r JOIN e ON e.u = r.node WHERE r.seen < e.v),
 g AS (SELECT node, min(seen) AS group_id FROM r GROUP BY node)"""
 
+#: The shorter text of a pair in nine even pieces, one of which stands in the other, no further off than the edits allow.
+_NEAR = """WITH RECURSIVE t AS MATERIALIZED (SELECT min(read_id) AS id, read, length(read) AS n FROM uniq_reads WHERE read IS NOT NULL AND read_id IS NOT NULL GROUP BY read),
+x AS (SELECT id, read, n AS l, unnest(range(9)) AS i FROM t),
+xp AS (SELECT id, l, i, substr(read, CAST(i * l // 9 + 1 AS INT), CAST((i + 1) * l // 9 - i * l // 9 AS INT)) AS piece FROM x),
+y AS (SELECT id, read, n, l, unnest(range(9)) AS i FROM (SELECT *, unnest(range(greatest(0, n - 8), n + 1)) AS l FROM t)),
+yb AS (SELECT *, i * l // 9 AS b, (i + 1) * l // 9 - i * l // 9 AS size FROM y),
+yp AS (SELECT id, n, l, i, substr(read, CAST(spot + 1 AS INT), CAST(size AS INT)) AS piece FROM (
+  SELECT *, unnest(range(greatest(0, b - i, b + n - l - (8 - i)), least(n - size, b + i, b + n - l + (8 - i)) + 1)) AS spot FROM yb)),
+met AS (SELECT DISTINCT least(xp.id, yp.id) AS a, greatest(xp.id, yp.id) AS b FROM xp JOIN yp USING (l, i, piece) WHERE xp.id <> yp.id AND (l < n OR xp.id < yp.id)),
+near AS MATERIALIZED (SELECT a, b FROM met JOIN t ta ON ta.id = a JOIN t tb ON tb.id = b WHERE levenshtein(ta.read, tb.read) <= 8)"""
 _WINDOWS = """WITH w AS MATERIALIZED (SELECT doc_id, k, md5(substr(text, CAST(k AS INT) + 1, 300)) AS h FROM (SELECT doc_id, text, unnest(range(length(text) - 299)) AS k FROM documents)),
 s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))"""
 
 SQL = {
+    "p2_found": _NEAR + " SELECT a AS read_id_a, b AS read_id_b FROM near",
+    "p2_groups": _NEAR + """, e AS MATERIALIZED (SELECT a AS u, b AS v FROM near UNION ALL SELECT b, a FROM near),
+        r(node, seen) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, r.seen FROM r JOIN e ON e.u = r.node WHERE r.seen < e.v),
+        g AS (SELECT node, min(seen) AS group_id FROM r GROUP BY node), k AS (SELECT u, count(*) AS links FROM e GROUP BY u)
+        SELECT node AS read_id, group_id, links FROM g JOIN k ON k.u = g.node""",
     "p8_found": _WINDOWS + " SELECT DISTINCT doc_id FROM w JOIN s USING (h)",
     "p8_coverage": _WINDOWS + """, m AS (SELECT DISTINCT doc_id, k FROM w JOIN s USING (h)),
         n AS (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 300 THEN 0 ELSE 1 END AS fresh FROM m),
