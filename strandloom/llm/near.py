@@ -4,7 +4,7 @@ A text is the set of its ``q``-grams. The domain of grams is partitioned by a ha
 ``SUBSETS`` parts; a signature is the projection of a text onto all parts of a group but one. ``d`` edits change at most
 ``2 q d`` grams, so most groups are hit by at most one change, and leaving out the part it falls into gives both texts the
 same signature. The number of groups follows the band of sizes a text falls into, near an edge it takes part in both bands,
-and independent partitionings are drawn until a text has ``ENOUGH`` signatures. A signature must hold two grams or more that
+and independent partitionings are drawn until a text has ``ENOUGH`` signatures, or more if much of it is hot. A signature must hold two grams or more that
 reach over ``MIN_SPAN`` further places, so that it is specific; this is what may lose a pair, and README gives the share by
 length and hot part. Of long texts, which fill far more groups than needed, signatures are taken by their hash.
 
@@ -36,9 +36,9 @@ from strandloom.session import cut_lineage, partitions_for
 BINS_BITS, MOST_BITS = 18, 22
 #: A bin is hot only above this many times the load of an average bin, however long the texts are.
 OVER_AVERAGE = 4
-#: Signatures a text draws for, and the draws it may take: edits that gather in the cold part of a text leave few of its
-#: signatures, and few groups fill there in a draw.
-ENOUGH, MOST_DRAWS = 44, 48
+#: Signatures a text draws for, and the draws it may take. Edits that gather in the cold part of a text leave few of its
+#: signatures, so a text draws for more the more of it is hot, and few groups fill there in a draw.
+ENOUGH, MOST_DRAWS = 40, 48
 #: Parts of a group; a signature leaves out one.
 SUBSETS = 3
 #: Groups for a character of a band: the more there are, the fewer grams a signature holds, and the likelier it survives.
@@ -116,13 +116,13 @@ def _projections(hashed: np.ndarray, owner: np.ndarray, place: np.ndarray, group
     return mix((sums[one] + np.where(one == two, np.uint64(0), sums[two])) ^ label), text, ((low >> 1) % (1 << PLACE_BITS) << SPAN_BITS | ((high - low) >> 2) % (1 << SPAN_BITS)).astype(np.int32)
 
 
-def _signatures(hashed: np.ndarray, owner: np.ndarray, place: np.ndarray, groups: np.ndarray, mode: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, text, place code); ``groups`` by text. A text takes part in partitionings until it has ``ENOUGH``
+def _signatures(hashed: np.ndarray, owner: np.ndarray, place: np.ndarray, groups: np.ndarray, enough: np.ndarray, mode: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, text, place code); ``groups`` by text. A text takes part in partitionings until it has ``enough``
     signatures; near texts stop at about the same one, and share those of the fewer partitionings."""
     count, seen = np.zeros(len(groups), np.int64), np.arange(len(groups))
     sigs, texts, codes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
     for draw in range(MOST_DRAWS):
-        left = count[seen] < ENOUGH
+        left = count[seen] < enough[seen]
         if draw and not left.all():
             mine, number = left[owner], np.cumsum(left) - 1
             hashed, owner, place = hashed[mine], number[owner[mine]], place[mine]
@@ -154,11 +154,13 @@ def _part_enum(texts: list[str], begin: int, end: int, hot: np.ndarray, q: int,
     index, groups = np.array([i for i, _ in chosen], np.int64), np.array([GROUPS * n for _, n in chosen], np.int64)
     hashed, owner, place = grams([texts[i] for i in index], q)
     cold = ~hot[(hashed >> np.uint64(65 - len(hot).bit_length())).astype(np.int64)]
-    sigs, text, codes = _signatures(hashed[cold], owner[cold], place[cold], groups, 0)
-    few = 2 * np.bincount(owner[cold], minlength=len(groups)) < np.bincount(owner, minlength=len(groups))
+    named, whole = np.bincount(owner[cold], minlength=len(groups)), np.bincount(owner, minlength=len(groups))
+    enough = ENOUGH * (2 - named / np.maximum(whole, 1)) ** 1.5
+    sigs, text, codes = _signatures(hashed[cold], owner[cold], place[cold], groups, enough, 0)
+    few = 2 * named < whole
     if few.any():
         own = few[owner]
-        more = _signatures(hashed[own], owner[own], place[own], groups, 1)
+        more = _signatures(hashed[own], owner[own], place[own], groups, np.full(len(groups), ENOUGH), 1)
         sigs, text, codes = (np.concatenate(pair) for pair in zip((sigs, text, codes), more))
     return sigs, index[text], codes
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from strandloom.llm.hashing import pack_texts, unpack_texts
-from strandloom.llm.near import BINS_BITS, SHORT, _emit, bins_for, grams, hot_bins, large_signatures, near_pairs, part_enum, text_classes
+from strandloom.llm.near import BINS_BITS, SHORT, _emit, _packed, bins_for, grams, hot_bins, large_signatures, near_pairs, part_enum, text_classes
 
 
 def lev(a, b, most):
@@ -123,11 +123,6 @@ def test_texts_with_a_large_hot_part_share_signatures():
         assert sum(own[i].isdisjoint(own[500 + i]) for i in range(500)) <= most, (hot_letters, length)
 
 
-def packed(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pack_texts(batch.column(1))], ["id", "text"])
-
-
 def mixed(rng, s, edits):
     """Exactly ``edits`` operations at different places: replaced, deleted or inserted letters."""
     s, kinds = list(s), [rng.choice("rdi") for _ in range(edits)]
@@ -178,7 +173,7 @@ def test_large_signatures_are_cut_into_slices(spark):
     options = {"hot_share": 0.1, "hot_least": 1}
     whole, cut = found(df, size=1000, **options), found(df, size=20, **options)
     assert whole == cut and len(cut) > 1000
-    texts = df.selectExpr("read_id as id", "read as text").mapInArrow(packed, "id long, text binary")
+    texts = df.selectExpr("read_id as id", "read as text", "length(read) as n").mapInArrow(_packed, "id long, text binary, n int")
     hot = hot_bins(texts, 8, 0.1 * len(family), BINS_BITS, len(family))
     large = large_signatures(texts, hot, 8, 8, 1, len(family), size=20)
     rows = _emit(texts, hot, 8, 8, 1, large).selectExpr("bucket", "length(ids) div 8 as n").groupBy("bucket").sum("n").collect()
