@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import absorb, calibrate, candidates, components, consensus
+from strandloom import queries_reads
 from strandloom.plans import pipeline
 from strandloom.session import cut_lineage
 from strandloom.sources.reads import index_reads, parse_lines, number_lines, read_text, unique_reads
@@ -215,3 +216,15 @@ def test_oversized_buckets_without_a_cap(spark):
     reads = spark.createDataFrame([(f"{'ACGTTGCAAGCT' * 7}{a}{b}{c}", 86 + 1, 1) for a in "ACGT" for b in "ACGT" for c in "ACGT"], "read string, len int, cnt long")
     cores = [pipeline.core_stage(reads, pipeline.Options(bucket_cap=cap))[1].select("label").distinct().count() for cap in (3, None)]
     assert cores == [64, 1]
+
+
+@pytest.mark.parametrize("name", ["absorb_resolved"])
+def test_queries_search_any_number_of_strings(spark, monkeypatch, name):
+    texts = ["ACGTACGTACGTACGTTGCA", "ACGTACGTACGTACGTTGCC", "TTTTGGGGCCCCAAAATTTT", "ACGTACGTACGTACGTTGAA"]
+    reads = spark.createDataFrame(list(enumerate(texts)), "idx long, read string")
+    first = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 3)], "idx long, label long")
+    strings = reads.where("idx < 3")
+    monkeypatch.setattr(queries_reads, "_heads", lambda *_: (reads, first, strings))
+    monkeypatch.setattr(queries_reads, "_rest", lambda *_: (reads.where("idx = 3"), strings))
+    monkeypatch.setattr(calibrate.all_pairs, "__defaults__", (None, 2))  # a table larger than ``exact_max``
+    assert queries_reads.QUERIES[name](spark, "").count() > 0
