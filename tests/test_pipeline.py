@@ -218,7 +218,7 @@ def test_oversized_buckets_without_a_cap(spark):
     assert cores == [64, 1]
 
 
-@pytest.mark.parametrize("name", ["absorb_resolved", "distance_histogram", "merge_exact", "absorb_exact", "absorb_statistics", "ceiling", "consensus_pairs", "histogram_dense", "assembled"])
+@pytest.mark.parametrize("name", ["absorb_resolved", "distance_histogram", "merge_exact", "absorb_exact", "absorb_statistics", "ceiling", "consensus_pairs", "histogram_dense", "assembled", "c_post"])
 def test_queries_search_any_number_of_strings(spark, monkeypatch, name):
     texts = ["ACGTACGTACGTACGTTGCA", "ACGTACGTACGTACGTTGCC", "TTTTGGGGCCCCAAAATTTT", "ACGTACGTACGTACGTTGAA"]
     reads = spark.createDataFrame(list(enumerate(texts)), "idx long, read string")
