@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import absorb, calibrate, candidates, components, consensus
 from strandloom import queries_reads
+from strandloom.functions import encode
 from strandloom.plans import pipeline
 from strandloom.session import cut_lineage
 from strandloom.sources.reads import index_reads, parse_lines, number_lines, read_text, unique_reads
@@ -228,3 +230,30 @@ def test_queries_search_any_number_of_strings(spark, monkeypatch, name):
     monkeypatch.setattr(queries_reads, "_rest", lambda *_: (reads.where("idx = 3"), strings))
     monkeypatch.setattr(calibrate.all_pairs, "__defaults__", (None, 2))  # a table larger than ``exact_max``
     assert queries_reads.QUERIES[name](spark, "").count() > 0
+
+
+@pytest.mark.parametrize("name", ["candidate_pairs"])
+def test_candidates_are_counted_without_a_shuffle_of_pairs(spark, monkeypatch, name):
+    rng = random.Random(3)
+    heads = ["".join(rng.choice("ACGT") for _ in range(30)) for _ in range(6)]
+    texts = sorted({edited(rng, rng.choice(heads), 4) + "ACGTACGTAC" * 2 for _ in range(150)} | {"AC", "NNNNNNNN"})
+    reads = cut_lineage(spark.createDataFrame(list(enumerate(texts)), "idx long, read string"))
+    monkeypatch.setattr(queries_reads, "_reads", lambda *_: reads)
+    monkeypatch.setattr(candidates, "PAIRS_AT_ONCE", 50)
+    made = queries_reads.QUERIES[name](spark, "")
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for occurrences in (1, 4):
+        pairs = candidates.bucket_pairs(encode.anchor_keys(reads, candidates.CORE_ROUNDS, occurrences)).collect()
+        found[occurrences] = Counter((r["a"], r["b"]) for r in pairs)
+    words = {r["idx"]: tuple(r)[1:] for r in encode.signatures(reads).collect()}
+    bits = lambda a, b: sum(((x ^ y) % 2**64).bit_count() for x, y in zip(words.get(a, (0,) * 6), words.get(b, (0,) * 6)))
+    multi = found[4]
+    passed = [p for p in multi if bits(*p) <= candidates.THETA_CORE]
+    want = {
+        "candidate_pairs": Counter(found[1].values()).items(), "candidate_pairs_multi": Counter(multi.values()).items(),
+        "candidate_partners": [(a, sum(p[0] == a for p in multi), sum(n for p, n in multi.items() if p[0] == a), sum(p[1] for p in multi if p[0] == a)) for a in {p[0] for p in multi}],
+        "s1_work_counters": [(sum(multi.values()), sum(multi[p] for p in passed), len(passed))],
+        "signature_hamming": Counter(bits(*p) for p in found[1]).items(),
+    }
+    assert multi and sorted(map(tuple, made.collect())) == sorted(want[name])
