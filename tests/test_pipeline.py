@@ -232,7 +232,7 @@ def test_queries_search_any_number_of_strings(spark, monkeypatch, name):
     assert queries_reads.QUERIES[name](spark, "").count() > 0
 
 
-@pytest.mark.parametrize("name", ["candidate_pairs", "candidate_pairs_multi", "s1_work_counters", "candidate_partners"])
+@pytest.mark.parametrize("name", ["candidate_pairs", "candidate_pairs_multi", "s1_work_counters", "candidate_partners", "signature_hamming"])
 def test_candidates_are_counted_without_a_shuffle_of_pairs(spark, monkeypatch, name):
     rng = random.Random(3)
     heads = ["".join(rng.choice("ACGT") for _ in range(30)) for _ in range(6)]
