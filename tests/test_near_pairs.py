@@ -56,6 +56,7 @@ def test_sides(reads, gather):
     left, right = reads.where("idx % 3 > 0"), reads.where("idx % 3 = 0")
     found = candidates.near_pairs(left, right, 16, 96, 96, 4, 300, gather)
     _same(found, verified(sided_pairs(signed_keys(left, 96, 4), signed_keys(right, 96, 4), 300, 96), left, right, 16))
+    assert "Join" not in absorb.absorb_filtered(left, right, 16)._jdf.queryExecution().toString()
 
 
 def test_near_pairs_of_nothing(reads):
