@@ -116,3 +116,27 @@ def test_safe_tau():
 def test_base_rows(spark):
     df = spark.createDataFrame([(0, "AcT"), (1, None), (2, "")], "idx long, read string").withColumn("code", F.lit(9))
     assert sorted(map(tuple, encode.base_rows(df).collect())) == [(0, 0, 0), (0, 1, -1), (0, 2, 3)]
+
+
+def test_parts_of_short_grams_lose_no_pair():
+    from strandloom.functions import distance
+
+    draw, texts = random.Random(7), []
+    ends = "ATGATTCTTTAACGGCGA", "TTCAGTGGATATCAAT"
+    roots = [ends[0] + "".join(draw.choice("ACGT") for _ in range(draw.randint(65, 85))) + ends[1] for _ in range(400)]
+    for root in roots:
+        text = list(root)
+        for _ in range(draw.randint(6, 18)):
+            at = draw.randrange(len(text))
+            text[at : at + draw.randint(0, 1)] = draw.choice(["A", "C", "G", "T", "N", ""])
+        texts.append("".join(text))
+    alphabet = distance._alphabet(texts, roots)
+    a, b = distance.Texts(texts, alphabet), distance.Texts(roots, alphabet)
+    q, telling = distance._telling(a, b, 16)
+    assert q == 4 and telling.mean() > 0.5
+    met = sum(len(i) for i, _ in distance._sharing_parts(a, np.flatnonzero(telling), b, 16, q, False))
+    assert met < 2 * len(roots)  # common ends alone do not make a pair worth comparing
+    for left, right in ((texts, roots), (roots, texts)):
+        i, j, d = distance.block_distances(left, right, 16, False)
+        every = distance.distances_within([x for x in left for _ in right], right * len(left), 16).reshape(len(left), -1)
+        assert sorted(zip(i, j, d)) == [(x, y, every[x, y]) for x, y in np.argwhere(every <= 16)]
