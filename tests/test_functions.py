@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandloom.functions import encode
+from strandloom.functions import distance, encode
 from strandloom.functions.distance import align, block_distances, distances, distances_within, edit_distance, exact_distance, pigeonhole_pass
 from strandloom.operators.calibrate import ceiling_below_peak, safe_tau
 
@@ -140,3 +140,33 @@ def test_parts_of_short_grams_lose_no_pair():
         i, j, d = distance.block_distances(left, right, 16, False)
         every = distance.distances_within([x for x in left for _ in right], right * len(left), 16).reshape(len(left), -1)
         assert sorted(zip(i, j, d)) == [(x, y, every[x, y]) for x, y in np.argwhere(every <= 16)]
+
+
+def test_blocks_with_themselves_lose_no_pair():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(18, 30))) for _ in range(700)]  # more than one tile, of all lengths
+    i, j, d = block_distances(texts, texts, 13, True)
+    a, b, e = block_distances(texts, texts, 13, False)
+    assert (i < j).all() and len(i) > 500
+    assert sorted(zip(i.tolist(), j.tolist(), d.tolist())) == sorted(x for x in zip(a.tolist(), b.tolist(), e.tolist()) if x[0] < x[1])
+
+
+def test_middle_parts_lose_no_pair():
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    texts = []
+    for length in [110] * 12 + [20, 60, 95, 130]:
+        head = letters(length)
+        other = list(head)
+        for _ in range(rng.randrange(1, 30)):
+            at, how = rng.randrange(len(other)), rng.randrange(3)
+            other[at] = ["", rng.choice("ACGTN"), other[at] + rng.choice("ACGT")][how]
+        gap = rng.randrange(22)
+        texts += [head, "".join(other), letters(gap) + head, head[gap:], head + letters(gap), letters(8) + head[8:-8] + letters(8)]
+    one, two = np.triu_indices(len(texts), 1)
+    exact = distances([texts[i] for i in one], [texts[j] for j in two])
+    alphabet = distance._alphabet(texts)
+    assert distance._middles(*[distance.Texts(texts, alphabet)] * 2, 21)
+    for limit in (5, 16, 21, 41):
+        near = exact <= limit
+        assert sorted(zip(one[near], two[near], exact[near])) == sorted(zip(*block_distances(texts, texts, limit, True)))
