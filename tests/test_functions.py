@@ -170,3 +170,13 @@ def test_middle_parts_lose_no_pair():
     for limit in (5, 16, 21, 41):
         near = exact <= limit
         assert sorted(zip(one[near], two[near], exact[near])) == sorted(zip(*block_distances(texts, texts, limit, True)))
+
+
+def test_signatures_of_odd_reads_are_made_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    reads = ["".join(rng.choice("ACGTN") for _ in range(40)) for _ in range(50)]
+    packed, whole, sizes = encode.PackedReads.of(reads), encode.Symbols(reads).words()[0].view(np.uint64).T, []
+    monkeypatch.setattr(encode, "ODD_READS", 7, raising=False)
+    made = encode.Symbols
+    monkeypatch.setattr(encode, "Symbols", lambda texts: sizes.append(len(texts)) or made(texts))
+    assert (packed.signatures() == whole).all() and max(sizes) <= 7

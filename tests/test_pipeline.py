@@ -1,12 +1,13 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import absorb, calibrate, candidates, components, consensus
 from strandloom import queries_reads
-from strandloom.functions import encode
+from strandloom.functions import distance, encode
 from strandloom.plans import pipeline
 from strandloom.session import cut_lineage
 from strandloom.sources.reads import index_reads, parse_lines, number_lines, read_text, unique_reads
@@ -257,3 +258,18 @@ def test_candidates_are_counted_without_a_shuffle_of_pairs(spark, monkeypatch, n
         "signature_hamming": Counter(bits(*p) for p in found[1]).items(),
     }
     assert multi and sorted(map(tuple, made.collect())) == sorted(want[name])
+
+
+def test_ceiling_counts_all_pairs_of_a_block(spark, monkeypatch):
+    rng = random.Random(12)
+    tails = sorted({"".join(rng.choice("ACGT") for _ in range(3)) + "ACGT" * k for k in (3, 4) for _ in range(400)}, key=lambda t: (-len(t), t))
+    texts = [f"{t}{rng.choice('ACGT')}{rng.choice('ACGT')}{k}" for t in tails for k in "ACGTNRY"]  # longer ones first
+    strings = cut_lineage(spark.createDataFrame(list(enumerate(texts)), "idx long, read string"))
+    monkeypatch.setattr(queries_reads, "_heads", lambda *_: (strings, None, strings))
+    monkeypatch.setattr(calibrate, "blocks_for", lambda count: 1)
+    limit = calibrate.distance_limit(strings)
+    one, two = np.triu_indices(len(texts), 1)
+    every = np.bincount(distance.distances([texts[i] for i in one], [texts[j] for j in two]), minlength=limit + 1)[: limit + 1].tolist()
+    found = calibrate.ceiling_below_peak(every)
+    assert calibrate.counts_of(queries_reads.QUERIES["histogram_dense"](spark, "")) == every
+    assert tuple(queries_reads.QUERIES["ceiling"](spark, "").first())[:2] == (found.kind, found.peak)
