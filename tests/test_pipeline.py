@@ -273,3 +273,21 @@ def test_ceiling_counts_all_pairs_of_a_block(spark, monkeypatch):
     found = calibrate.ceiling_below_peak(every)
     assert calibrate.counts_of(queries_reads.QUERIES["histogram_dense"](spark, "")) == every
     assert tuple(queries_reads.QUERIES["ceiling"](spark, "").first())[:2] == (found.kind, found.peak)
+
+
+def test_search_goes_only_as_far_as_components_ask(spark):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    base = letters(40)
+    everything = lambda strings, limit: calibrate.all_pairs(strings, limit)
+    for apart, asked in ((5, [5]), (7, [5, 12]), (30, [5, 12])):
+        other = "".join("ACGT"["CGTA".index(c)] if k < apart else c for k, c in enumerate(base))
+        texts = [base, base[:-1] + "N", other, other[:-2] + "NN"]
+        strings = cut_lineage(spark.createDataFrame(list(enumerate(texts)), "idx long, read string"))
+        rest = cut_lineage(spark.createDataFrame([(10 + k, edited(rng, rng.choice(texts), rng.randrange(5))) for k in range(40)], "idx long, read string"))
+        limits = []
+        edges, complete, merged, c_post = absorb.merged_apart(strings, 4, 12, lambda s, limit: limits.append(limit) or everything(s, limit))
+        every = cut_lineage(everything(strings, 12))
+        assert limits == asked and c_post == absorb.closest_apart(merged, every, 12).first()[0]
+        rows = [sorted(map(tuple, absorb.resolve(rest, strings, e, merged, c_post, 12, 4, complete=c).select("idx", "way", "core", "d", "near").collect())) for e, c in ((edges, complete), (every, None))]
+        assert rows[0] == rows[1]
