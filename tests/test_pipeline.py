@@ -79,6 +79,34 @@ def test_approx_and_options(spark):
             pipeline.cluster(unique, pipeline.Options(**bad))
 
 
+@pytest.mark.parametrize(("tau_cons", "searches"), [(20, ["counted_pairs"]), (0, ["counted_pairs", "filtered_pairs"])])
+def test_filtered_mode_searches_pairs_once(spark, monkeypatch, tau_cons, searches):
+    draw = random.Random(11)
+    one = "".join(draw.choice("ACGT") for _ in range(110))
+    origins = [one, "T" * 20 + one[20:]]
+    reads = [o[:at] + "A" + o[at:] for o in origins for at in (40, 60, 80, 100)]
+    unique, calls = unique_reads(lines_of(spark, reads)), []
+    for name in ("counted_pairs", "filtered_pairs"):
+        search = getattr(calibrate, name)
+        monkeypatch.setattr(calibrate, name, lambda *a, name=name, search=search: calls.append(name) or search(*a))
+    result = pipeline.cluster(unique, pipeline.Options(approx=True, auto_tau=True, tau_cons=tau_cons, margin=0.0))
+    assert calls == searches and pipeline.cluster_sizes(unique, result).count() == 2
+    assert 8 < result.metrics["ceiling"] == result.metrics["tau_cons"] + 1 <= 20
+
+
+def test_pairs_counted_beyond_a_distance(spark):
+    draw = random.Random(12)
+    one = "".join(draw.choice("ACGT") for _ in range(110))
+    texts = spark.createDataFrame([(k, "T" * k + one[k:]) for k in range(30)], "idx long, read string")
+    for cap in (4096, None):
+        every, counted = calibrate.filtered_pairs(texts, 55, cap=cap), calibrate.counted_pairs(texts, 55, 6, cap=cap).collect()
+        expected = every.collect()
+        assert sorted(tuple(r)[:3] for r in counted if r.a is not None) == sorted(tuple(r) for r in expected if r.d <= 6)
+        assert all(r.n == 1 for r in counted if r.a is not None) and all(r.d > 6 for r in counted if r.a is None)
+        assert sum(r.n for r in counted) == len(expected) > 200
+        assert calibrate.tau_of(every, 55, 0.25) == calibrate.auto_tau(texts, cap=cap)
+
+
 def test_empty_and_single(spark):
     unique = unique_reads(lines_of(spark, ["", None]))
     assert pipeline.cluster_sizes(unique, pipeline.cluster(unique)).collect() == []
@@ -130,6 +158,26 @@ def test_votes_and_majorities(spark):
     assert consensus.consensus(cores, centres, cast).first()["cons"] == "ACGT"
 
 
+@pytest.mark.parametrize("alphabet", ["ACGT", "ACN", "ANé"])
+def test_consensus_of_dissent_alone(spark, alphabet):
+    draw = random.Random(len(alphabet))
+    texts = []
+    for core in range(60):
+        root = "".join(draw.choice(alphabet) for _ in range(draw.randint(0, 14)))
+        for _ in range(draw.randint(2, 7)):
+            text = list(root)
+            for _ in range(draw.randint(0, 5)):
+                at = draw.randint(0, len(text))
+                text[at : at + draw.randint(0, 2)] = draw.choice(["", *alphabet, "AC"])
+            texts.append((core, "".join(text)))
+    cores = spark.createDataFrame([(k, core) for k, (core, _) in enumerate(texts)], "idx long, core long")
+    reads = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(texts)], "idx long, read string")
+    centres = spark.createDataFrame([(core, next(t for c, t in texts if c == core), 0) for core in range(60)], "core long, medoid string, total long")
+    expected = {tuple(r) for r in consensus.consensus(cores, centres, consensus.votes(cores, reads, centres)).collect()}
+    assert {tuple(r) for r in consensus.amended(cores, reads, centres).collect()} == expected
+    assert any(cons != medoid for _, medoid, cons, _ in expected)
+
+
 def test_half_of_deletions_keeps_the_column_and_a_majority_inserts(spark):
     reads = spark.createDataFrame(list(enumerate(["AC", "ACG", "TTCG", "TTCCG", "TTCCG"])), "idx long, read string")
     cores = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2), (4, 2)], "idx long, core long")
