@@ -18,10 +18,13 @@ _FOUR = np.frombuffer(_LETTERS, np.uint8)[(np.arange(256)[:, None] >> np.array([
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result depends on all bits of ``x``."""
-    x = x.astype(np.uint64, copy=False)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x = np.asarray(x).astype(np.uint64, copy=False)
+    x = x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def planes(values: np.ndarray, width: int = 8) -> bytes:

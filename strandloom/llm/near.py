@@ -46,8 +46,10 @@ GROUPS = 4
 #: Signatures a group gives in a draw, for random texts: a measured figure.
 FILLED = 0.04
 MIN_SPAN = 8
+#: Groups up to which grams are counted by group before they are sorted.
+DENSE_GROUPS = 1 << 22
 #: Characters worked on at a time, so that the arrays of a step stay in the processor's cache.
-PIECE_CHARS = 100_000
+PIECE_CHARS = 50_000
 SHORT = 96
 ENTRIES_PER_BUCKET = 300_000
 #: Bytes of input, as Spark plans it, for one partition of the texts.
@@ -97,11 +99,17 @@ def _projections(hashed: np.ndarray, owner: np.ndarray, place: np.ndarray, group
     What two subsets of a group have in common when a part is empty is given once."""
     base = np.cumsum(groups) - groups
     x = mix(hashed ^ np.uint64((salt + 1) * 0x9E3779B97F4A7C15 % 2**64))
-    cell = base[owner] * SUBSETS + (x % (groups[owner] * SUBSETS).astype(np.uint64)).astype(np.int64)
-    order = np.sort((cell << 32) | np.arange(len(cell)))  # by cell, places ascending
+    if len(groups) and (groups == groups[0]).all():  # one band, nearly always: division by one number is much faster
+        first, parts = owner * (groups[0] * SUBSETS), np.uint64(groups[0] * SUBSETS)
+    else:
+        first, parts = base[owner] * SUBSETS, (groups[owner] * SUBSETS).astype(np.uint64)
+    cell = first + (x - x // parts * parts).astype(np.int64)
+    # a gram alone in its group, as most are, gives no signature
+    met = np.flatnonzero((np.bincount(group := cell // SUBSETS) > 1)[group]) if int(groups.sum()) <= DENSE_GROUPS else np.arange(len(cell))
+    order = np.sort((cell[met] << 32) | met)  # by cell, places ascending
     cell, at = order >> 32, order & 0xFFFFFFFF
     begin = np.flatnonzero(np.diff(cell, prepend=-1))
-    end = np.r_[begin[1:], len(cell)]
+    end = np.r_[begin, len(cell)][1:]
     sums = np.add.reduceat(mix(x[at]), begin) if len(begin) else np.empty(0, np.uint64)
     first, last, group = place[at[begin]], place[at[end - 1]], cell[begin] // SUBSETS
     filled = np.bincount(group)[group] if len(group) else group
@@ -294,9 +302,13 @@ def _emit(texts: DataFrame, hot: np.ndarray, q: int, slack: int, buckets: int, l
 
 def bucket_pairs(codes: np.ndarray, ids: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
     """The different pairs of ids that share a signature at about the same place, in one bucket."""
-    known, own = np.unique(ids, return_inverse=True)
-    order = np.argsort(codes, kind="stable")
-    own, codes = own[order].astype(np.int64), codes[order]
+    order = np.sort(codes.astype(np.int64) << 32 | np.arange(len(codes)))
+    alike = np.diff(order >> 32 + PLACE_BITS + SPAN_BITS) == 0
+    if not alike.any():
+        return ids[:0], ids[:0]
+    order = order[np.r_[alike, False] | np.r_[False, alike]]  # the other entries meet none
+    codes = (order >> 32).astype(np.uint32)
+    known, own = np.unique(ids[order & 0xFFFFFFFF], return_inverse=True)
     sigs = codes >> np.uint32(PLACE_BITS + SPAN_BITS)
     places, spans = (codes >> np.uint32(SPAN_BITS) & np.uint32((1 << PLACE_BITS) - 1)).astype(np.int32), (codes & np.uint32((1 << SPAN_BITS) - 1)).astype(np.int32)
 

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from strandloom.llm import near
 from strandloom.llm.hashing import pack_texts, unpack_texts
 from strandloom.llm.near import BINS_BITS, SHORT, _emit, _packed, bins_for, grams, hot_bins, large_signatures, near_pairs, part_enum, text_classes
 
@@ -179,3 +180,33 @@ def test_large_signatures_are_cut_into_slices(spark):
     rows = _emit(texts, hot, 8, 8, 1, large).selectExpr("bucket", "length(ids) div 8 as n").groupBy("bucket").sum("n").collect()
     sliced = [r[1] for r in rows if r[0] > 0]
     assert max(large.slices) > 5 and len(sliced) > 15 and max(sliced) <= 80
+
+
+def test_only_grams_that_share_a_group_are_sorted(monkeypatch):
+    draw = random.Random(21)
+    lengths = [*[110] * 300, *[400] * 20, 96, 150, 96]
+    texts, hot = ["".join(draw.choice("ACGT") for _ in range(n)) for n in lengths], np.zeros(1 << near.BINS_BITS, bool)
+    hashed, owner, place = near.grams(texts, 8)
+    for groups in (np.full(len(texts), 384), np.array([near.GROUPS * n for n in lengths])):
+        sizes, sort = [], np.sort
+        monkeypatch.setattr(near.np, "sort", lambda x: sizes.append(len(x)) or sort(x))
+        near._projections(hashed[:20_000], owner[:20_000], place[:20_000], groups, 3)
+        assert sizes and max(sizes) < 20_000 / 2  # most grams are alone in their group
+        monkeypatch.setattr(near.np, "sort", sort)
+    counted = near.part_enum(texts, hot, 8, 8)
+    monkeypatch.setattr(near, "DENSE_GROUPS", 0)
+    for one, other in zip(counted, near.part_enum(texts, hot, 8, 8)):
+        assert len(one) > 10_000 and (one == other).all()
+    everything_hot = near.part_enum(["A" * 100, "ACGT" * 30], ~hot, 8, 8)
+    assert len({len(part) for part in everything_hot}) == 1
+
+
+def test_bucket_pairs_of_entries_that_meet_and_of_none():
+    draw = np.random.default_rng(22)
+    low = near.PLACE_BITS + near.SPAN_BITS
+    codes, ids = (draw.integers(0, 400, 2000) << low | draw.integers(0, 4, 2000) << near.SPAN_BITS).astype(np.uint32), draw.integers(0, 500, 2000)
+    expected = {(min(x, y), max(x, y)) for i, x in enumerate(ids.tolist()) for j, y in enumerate(ids[:i].tolist()) if x != y and codes[i] >> low == codes[j] >> low}
+    assert set(zip(*(side.tolist() for side in near.bucket_pairs(codes, ids, 8)))) == expected
+    for few in (0, 1, 50):
+        a, b = near.bucket_pairs((np.arange(few) << low).astype(np.uint32), ids[:few], 8)
+        assert len(a) == len(b) == 0
