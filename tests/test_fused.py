@@ -7,9 +7,11 @@ import random
 import numpy as np
 import pytest
 
+from strandloom import queries_reads
 from strandloom.functions.distance import distances
 from strandloom.functions.fused import met_pairs
 from strandloom.operators import absorb, calibrate
+from strandloom.session import cut_lineage
 
 
 def mutated(rng, text, edits):
@@ -46,3 +48,18 @@ def test_strings_without_text_are_near_none(spark):
     assert sorted(map(tuple, calibrate.all_pairs(strings, 4).collect())) == [(0, 2, 1, 1), (0, 3, 4, 1), (2, 3, 4, 1)]
     assert sorted(map(tuple, absorb.near_strings(strings.where("idx = 2"), strings, 1).collect())) == [(2, 0, 1), (2, 2, 0)]
     assert calibrate.all_pairs(strings.where("idx > 5"), 4).count() == 0
+
+
+def test_c_post_searches_only_as_far_as_needed(spark, monkeypatch):
+    rng = random.Random(8)
+    base = "".join(rng.choice("ACGT") for _ in range(110))
+    for apart, asked in ((21, [21]), (30, [21, 41]), (60, [21, 41])):
+        other = "N" * apart + base[apart:]
+        strings = cut_lineage(spark.createDataFrame([(0, base), (1, base[:-1] + "R"), (2, other)], "idx long, read string"))
+        limits, every = [], queries_reads._every_pair
+        monkeypatch.setattr(queries_reads, "_heads", lambda *_: (strings, None, strings))
+        monkeypatch.setattr(queries_reads, "_every_pair", lambda s, limit: limits.append(limit) or every(s, limit))
+        found = queries_reads.QUERIES["c_post"](spark, "").first()
+        monkeypatch.undo()
+        edges = calibrate.all_pairs(strings, 41)
+        assert limits == asked and found == absorb.closest_apart(absorb.merge_components(strings, edges, 20), edges, 41).first()
